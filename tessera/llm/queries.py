@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, simhash
+from tessera.llm import bpe, ledger, shard, simhash
+from tessera.llm.common import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = cut(docs.select("doc_id", (F.octet_length(text) + F.lit(8).cast("long")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key")))
+    dealt = shard.histogram_sort(rows, ("key", "doc_id"), "size", 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.scan(table(spark, sf_dir, "documents"))
+    listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+    count = lambda rule: F.size(F.filter("findings", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
+    base = [r.name for r in ledger.BASE]
+    return found.select("doc_id", *(count(r) for r in base), F.sha2(listed(F.filter("findings", lambda s: s["rule"].isin(base))), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
