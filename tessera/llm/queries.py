@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ledger, shard, simhash
+from tessera.llm import bpe, ledger, quoting, shard, simhash, topk
 from tessera.llm.common import cut
 
 QUERIES: dict = {}
@@ -56,3 +56,27 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda rule: F.size(F.filter("findings", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
     base = [r.name for r in ledger.BASE]
     return found.select("doc_id", *(count(r) for r in base), F.sha2(listed(F.filter("findings", lambda s: s["rule"].isin(base))), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+@query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op4_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+@query
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.link(table(spark, sf_dir, "conversations"))
