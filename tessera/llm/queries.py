@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ledger, quoting, shard, simhash, topk
+from tessera.llm import bpe, ledger, quality, quoting, shard, simhash, topk, toxicity
 from tessera.llm.common import cut
 
 QUERIES: dict = {}
@@ -80,3 +80,26 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 @query
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoting.link(table(spark, sf_dir, "conversations"))
+
+
+def held_out(modulus: int, remainder: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder
+
+
+def scored(found: DataFrame, out) -> DataFrame:
+    """The contract's columns; a null doc_id is nobody's training row, so it counts as held out."""
+    return found.select("doc_id", F.coalesce(out, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return scored(toxicity.score(docs, model), out)
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return scored(quality.score(docs, model), out)
