@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ledger, quality, quoting, shard, simhash, topk, toxicity
+from tessera.llm import bpe, ledger, quality, quoting, shard, simhash, sitetree, topk, toxicity
 from tessera.llm.common import cut
 
 QUERIES: dict = {}
@@ -103,3 +103,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(3, 1)
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
     return scored(quality.score(docs, model), out)
+
+
+@query
+def op2_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sitetree.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
