@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ledger, quality, quoting, shard, simhash, sitetree, topk, toxicity
+import corpus_pipeline
+from tessera.llm import bpe, decontam, ledger, quality, quoting, shard, simhash, sitetree, topk, toxicity
 from tessera.llm.common import cut
 
 QUERIES: dict = {}
@@ -109,3 +110,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sitetree.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

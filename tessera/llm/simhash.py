@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, free_name, slices
 
 #: Most fingerprints of one trie node that a task joins at once, and most in one task's batch.
 LEAF, BATCH = 512, 20_000
@@ -249,3 +249,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     salted = prints.withColumn("_salt", F.when(F.col("fp").isin(hot), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).otherwise(0))
     spread = named.withColumn("_salt", F.explode(F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(spread, ["fp", "_salt"], "left").select(doc_id, "fp", F.when(F.col(doc_id).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id. Rows with a null doc_id stay.
+
+    Of rows that share the kept doc_id, the one with the smallest hash of its text stays."""
+    groups = cut(near_duplicates(docs, doc_id, text, words, errors))
+    kept = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct().hint("shuffle_hash")
+    out = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi")
+    repeated = cut(groups.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept")))
+    if not repeated.isEmpty():
+        twice = F.col(f"`{doc_id}`") == F.col("_kept")
+        rank = free_name(docs, "rank")
+        first = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(F.xxhash64(f"`{text}`")))
+        ranked = out.join(repeated, twice, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
+        out = out.join(repeated, twice, "left_anti").unionByName(ranked)
+    return out.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
