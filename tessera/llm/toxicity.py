@@ -2,7 +2,7 @@
 
 Features of a text are its distinct lower-cased words and their beginnings. A bounded sample of labelled rows (MOST_ROWS, chosen by a hash of
 the id) gives, on the executors, each row's hashed words and those of its counterfactuals: the same text with its
-identity terms swapped for others of their kind, and for a neutral word. The driver keeps the words whose rates differ
+identity terms swapped for others of their kind, and without them. The driver keeps the words whose rates differ
 most between the labels, and fits a logistic model of them by gradient descent on log loss plus PULL times the squared
 change of the logit over each row's counterfactuals, so that a mention of a group doesn't move a score by itself. All
 rows are then scored in one pass with a broadcast of FEATURES weights.
@@ -44,7 +44,6 @@ IDENTITY = (
     ("frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
     ("muslime", "christen", "juden", "musulmans", "chrétiens", "juifs", "musulmanes", "cristianos", "judíos"),
 )
-NEUTRAL = "person"
 _KIND = {w: line for line in IDENTITY for w in line}
 _WORD = re.compile(r"[^\W_]+")
 
@@ -54,14 +53,14 @@ def words(text: str | None) -> set[str]:
 
 
 def counterfactuals(found: set[str], limit: int = 3) -> list[set[str]]:
-    """The word sets after swapping identity terms, at most limit: the next terms of each kind in turn, then neutral."""
+    """The word sets after swapping identity terms, at most limit: the next terms of each kind in turn, then none."""
     terms = found & _KIND.keys()
     if not terms:
         return []
     out = []
     for shift in range(1, limit):
         out.append((found - terms) | {_KIND[t][(_KIND[t].index(t) + shift) % len(_KIND[t])] for t in terms})
-    out.append((found - terms) | {NEUTRAL})
+    out.append(found - terms)
     return out
 
 
