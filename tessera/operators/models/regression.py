@@ -131,13 +131,16 @@ class LogisticRegression:
 
 @dataclass(frozen=True)
 class Family:
-    """A distribution of a generalised linear model: its link, variance by mean, first mean by target, iteration weight."""
+    """A distribution of a generalised linear model: its link, variance by mean, first mean by target (lagged
+    schedule), iteration weight, first mean (textbook)."""
 
     name: str
     link: scalar.Link
     variance: object
     first: object
     weight: object
+    start: object
+    bound: object = lambda m: m  # keeps means where the link is finite
 
 
 def _clamped(y: Column) -> Column:
@@ -145,14 +148,14 @@ def _clamped(y: Column) -> Column:
 
 
 _binary_variance = lambda m: F.greatest(m * (1 - m), F.lit(1e-10))
-BERNOULLI = Family("bernoulli", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m), F.lit(1e-5)))
-POISSON = Family("poisson", scalar.LOG, lambda m: m, lambda y: F.greatest(y, F.lit(1e-10)), lambda m: m)
-NORMAL = Family("normal", scalar.IDENTITY, lambda m: F.lit(1.0), lambda y: y, lambda m: F.lit(1.0))
+BERNOULLI = Family("bernoulli", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m), F.lit(1e-5)), lambda y: (y + 0.5) / 2, _clamped)
+POISSON = Family("poisson", scalar.LOG, lambda m: m, lambda y: F.greatest(y, F.lit(1e-10)), lambda m: m, lambda y: y + 0.1)
+NORMAL = Family("normal", scalar.IDENTITY, lambda m: F.lit(1.0), lambda y: y, lambda m: F.lit(1.0), lambda y: y)
 
 
 def binomial(trials: str) -> Family:
     """Shares of `trials` tries each."""
-    return Family("binomial", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m) * col(trials), F.lit(1e-5)))
+    return Family("binomial", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m) * col(trials), F.lit(1e-5)), lambda y: (y + 0.5) / 2, _clamped)
 
 
 @dataclass(frozen=True)
@@ -173,7 +176,7 @@ class GeneralizedLinearRegression:
         try:
             need_rows(data.limit(1).count())
             y, terms = col(label).cast("double"), [F.lit(1.0), *(col(c).cast("double") for c in features)]
-            beta, before, mean, z = None, None, fam.first(y), None
+            beta, before, mean, z = None, None, fam.first(y) if self.lagged else fam.start(y), None
 
             def step(m: Column) -> Column:
                 change = y - m
@@ -186,7 +189,7 @@ class GeneralizedLinearRegression:
                     eta = linear(beta[1:], features, beta[0])
                     # The lagged schedule takes the correction from the means that gave this beta.
                     last = mean
-                    mean = link.inverse(eta)
+                    mean = fam.bound(link.inverse(eta))
                     w, z = fam.weight(mean), eta + step(last if self.lagged else mean)
                 row = data.agg(*gram_columns([*terms, z], w)).first()
                 g, d = gram_matrix(row, len(terms) + 1), len(terms)
