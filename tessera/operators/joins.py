@@ -9,7 +9,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidDataError, InvalidParametersError, InvalidStateError
@@ -23,11 +23,16 @@ BLOCK = 8192
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of spark.checkpoint.dir (a local one only where that is unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     out = df.checkpoint()
     return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))
 
