@@ -55,6 +55,7 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login footer header masthead menu nav navbar navigation sidebar sidebars aside widget widgets "
     "related recommended recommendations share sharing social toolbar pagination pager paging search searchbox skip skiplink hidden copyright legal disclaimer taboola outbrain".split()
 )
+NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments disqus reply replies promo sponsored related recommended widget teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
@@ -145,9 +146,10 @@ def marked(node: Node, inside: bool) -> bool:
         return True
     if own.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("body", "html", "article", "main"):
+    if node.tag in ("body", "html", "main"):
         return False
-    return any(p in NAMES for p in _PART.findall(f"{own.get('class', '')} {own.get('id', '')}".lower()))
+    names = NOT_ARTICLES if node.tag == "article" else NAMES  # an article may be a comment or an advert
+    return any(p in names for p in _PART.findall(f"{own.get('class', '')} {own.get('id', '')}".lower()))
 
 
 def is_article(node: Node) -> bool:

@@ -14,6 +14,7 @@ def test_blocks():
     assert sitetree.main_text(None) == "" and sitetree.main_text("plain &amp; simple") == "plain & simple"
     assert sitetree.main_text("<p>a<table><tr><td>b<td>c</table>d") == "a\nb\nc\nd"
     assert sitetree.main_text("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
+    assert sitetree.main_text("<article><p>x</p></article><article class='comment odd'><p>y</p></article>") == "x"
     assert sitetree.main_text("<a href=\"x>q</a> z") == "q z"
 
 
