@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import fields
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.errors import InvalidDataError, InvalidStateError, UntrainedModelError
 
@@ -22,6 +25,24 @@ class Model:
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def parameters_json(self) -> str:
+        """The fitted values that are numbers, names or arrays of them; frames and functions are left out."""
+        out = {}
+        for f in fields(self):
+            v = getattr(self, f.name)
+            if isinstance(v, dict):
+                v = {k: np.asarray(x).tolist() for k, x in v.items()}
+            elif isinstance(v, np.ndarray):
+                v = v.tolist()
+            elif not isinstance(v, (int, float, str, tuple, list)) or isinstance(v, tuple) and not all(isinstance(x, (int, float, str)) for x in v):
+                continue
+            out[f.name] = v
+        return json.dumps(out, default=str)
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        """One row: the model's kind and its values as JSON, ready to be written anywhere."""
+        return spark.createDataFrame([(type(self).__name__, self.parameters_json())], "kind string, parameters string")
+
 
 class Trainable:
     """A facade that keeps the last fitted model: `train`, then `predict`."""

@@ -32,10 +32,6 @@ class LinearModel(Model):
         self._check(df)
         return df.withColumn("prediction", self.expr())
 
-    def to_frame(self, spark) -> DataFrame:
-        names = ["intercept", *self.features]
-        return spark.createDataFrame([(n, float(p)) for n, p in zip(names, self.parameters, strict=True)], "name string, value double")
-
 
 def _sums(df: DataFrame, features: Sequence[str], label: str) -> tuple[int, np.ndarray]:
     """(rows, Gram matrix of [1, centred features, centred label], means) — centring keeps the digits of large values."""
