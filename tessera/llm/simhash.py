@@ -19,6 +19,7 @@ A null doc_id takes part in no group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,46 +34,86 @@ from tessera.llm.common import cut, free_name, slices
 LEAF, BATCH = 512, 20_000
 #: Fingerprints of more than 1 / HOT of all rows are salted with SALTS values.
 HOT, SALTS = 200, 32
+#: Bits of each of several fingerprints, and of the pool that they are cut from.
+WIDTH, POOL = 48, 768
 #: Levels that a round of splitting goes down.
 STEP = 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit fingerprint of one text, by the module's rules."""
+def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, in runs of bounded length."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     n = len(found)
     if n <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
+        return
     lengths = np.fromiter(map(len, found), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     total = n - words + 1
     for at in range(0, total, 1 << 16):
         to = min(total, at + (1 << 16))
         spans = zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], 42) for a, b in spans], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit fingerprint of one text, by the module's rules."""
+    counts, total = np.zeros(64, np.int64), 0
+    for h in _shingles(text, words):
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(h)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp", words: int = 3) -> DataFrame:
-    """The columns of keep, and the fingerprint as a signed long."""
+def sketch(text: str | None, words: int, tables: int) -> list[int]:
+    """`tables` fingerprints of WIDTH bits each, the bits first in signed longs. They are cut from fixed shuffles of POOL
+    bits, each the majority of further hashes that are mixed from the shingles' own. No shingle gives zeros."""
+    k = POOL // 64
+    counts, total = np.zeros(POOL, np.int64), 0
+    steps = (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for whole in _shingles(text, words):
+        for at in range(0, len(whole), 4096):
+            h = whole[at : at + 4096, None] + steps  # the mixing steps of SplitMix64
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+            total += len(h)
+    bits = np.zeros((tables, 64), np.uint8)
+    bits[:, :WIDTH] = (counts * 2 > total)[_places(tables)]
+    return np.packbits(bits, axis=1).view(">i8")[:, 0].tolist()
+
+
+@cache
+def _places(tables: int) -> np.ndarray:
+    """Which bits of the pool make up each table."""
+    shuffles = [np.random.default_rng(i).permutation(POOL) for i in range(-(-tables * WIDTH // POOL))]
+    return np.concatenate(shuffles)[: tables * WIDTH].reshape(tables, WIDTH)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp", words: int = 3, tables: int = 0) -> DataFrame:
+    """The columns of keep, and the fingerprint as a signed long; with tables, the sketch as an array of them."""
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.LongType(), False)])
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.ArrayType(T.LongType(), False) if tables else T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                out = np.array([fingerprint(t, words) for t in batch.column("_text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out.view(np.int64))], names=[*keep, name])
+                texts = batch.column("_text").to_pylist()
+                if tables:
+                    out = pa.array([sketch(t, words, tables) for t in texts], pa.list_(pa.int64()))
+                else:
+                    out = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
 
@@ -126,16 +167,23 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return label
 
 
-def _turned(value, block: int, size: int):
-    """The bits turned left so that the block stands first."""
+def _turned(value, block: int, size: int, width: int = 64):
+    """The first `width` bits turned left so that the block stands first."""
     k = block * size
-    return value if k == 0 else F.shiftleft(value, k).bitwiseOR(F.shiftrightunsigned(value, 64 - k))
+    return value if k == 0 else F.shiftleft(value, k).bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, 64 - k), 64 - width))
 
 
 def links(prints: DataFrame, errors: int = 3, leaf: int = LEAF) -> DataFrame:
     """Pairs (a, b) of different fingerprints that join all linked ones into groups. prints: distinct, column fp."""
-    size = 64 // (errors + 1)
-    turned = prints.select("fp", F.posexplode(F.array(*(_turned(F.col("fp"), b, size) for b in range(errors + 1)))).alias("block", "t"))
+    return table_links(prints.select("fp", F.lit(0).alias("table"), F.col("fp").alias("value")), 64, errors, leaf)
+
+
+def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF) -> DataFrame:
+    """The same for values of the first `width` bits in several tables: pairs (a, b) of fps whose values in one table link.
+    values: fp, table, value, each (table, value) once."""
+    size = width // (errors + 1)
+    turned = values.select("fp", "table", F.posexplode(F.array(*(_turned(F.col("value"), b, size, width) for b in range(errors + 1)))).alias("block", "t"))
+    turned = turned.select("fp", (F.col("table") * (errors + 1) + F.col("block")).alias("block"), "t")
     head = lambda bits: F.shiftrightunsigned("t", 64 - bits)
     # Node pairs (x, y at `depth` bits, spent): first each head with itself, then pairs below the heads that are too full.
     full = cut(turned.groupBy("block", head(size).alias("x")).count().where(F.col("count") > leaf).select("block", "x"))
@@ -236,11 +284,26 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id of its group."""
-    prints = cut(fingerprints(docs, text, (doc_id,), "fp", words))
-    heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
-    pairs = links(heads.select("fp"), errors)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3, tables: int = 0) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id of its group.
+
+    tables: link by any of so many independent fingerprints of WIDTH bits instead of one of 64 (fp is then a hash of them
+    all). A shared budget of 3 bits finds hardly any pair of similarity 0.8, where a bit differs with probability 0.15;
+    of so many tables one is likely to be within it."""
+    prints = fingerprints(docs, text, (doc_id,), "fp", words, tables)
+    if tables:
+        prints = cut(prints.withColumnRenamed("fp", "fps").withColumn("fp", F.xxhash64("fps")))
+        heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n"), F.first("fps").alias("fps")))
+        values = heads.select("fp", F.posexplode("fps").alias("table", "value"))
+        prints = prints.drop("fps")
+        firsts = cut(values.groupBy("table", "value").agg(F.min("fp").alias("first")))
+        equal = values.join(firsts, ["table", "value"]).where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        near = table_links(firsts.select(F.col("first").alias("fp"), "table", "value"), WIDTH, errors)
+        pairs = equal.unionByName(near).distinct()
+    else:
+        prints = cut(prints)
+        heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
+        pairs = links(heads.select("fp"), errors)
     left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), heads.select(F.col("fp").alias("b"), F.col("head").alias("v"))
     roots = components(pairs.join(left, "a").join(right, "b").select("u", "v").where("u is not null and v is not null"))
     named = heads.join(roots, heads["head"] == roots["node"], "left").select("fp", F.coalesce("root", "head").alias("component_id"))
@@ -251,11 +314,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return salted.join(spread, ["fp", "_salt"], "left").select(doc_id, "fp", F.when(F.col(doc_id).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3, tables: int = 0) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Of rows that share the kept doc_id, the one with the smallest hash of its text stays."""
-    groups = cut(near_duplicates(docs, doc_id, text, words, errors))
+    groups = cut(near_duplicates(docs, doc_id, text, words, errors, tables))
     kept = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct().hint("shuffle_hash")
     out = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi")
     repeated = cut(groups.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept")))
