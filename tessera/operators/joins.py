@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -70,20 +70,23 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
     return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, ids.dtype), np.empty(0))
 
 
-def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, query_id: str = "qid", point_id: str = "id", not_self: bool = False, algorithm: str = "blocked") -> DataFrame:
+def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, query_id: str = "qid", point_id: str = "id", not_self: bool = False, algorithm: str | Callable = "blocked") -> DataFrame:
     """(query_id, point_id, distance, rank): the k nearest points of each query, ties to the smaller id. Exact.
 
-    algorithm: "blocked" deals both sides to blocks and joins block pairs in numpy; "brute" is a join with a rank;
+    algorithm: "blocked" deals both sides to blocks and joins block pairs in numpy; "brute" is a join with a rank; a callable
+    (queries, points, features, k, not_self), with ids named q and p and an array of features x and y, returns (q, p, d);
     "kd_tree" and "ball_tree" are the blocked one, whose results are the same. Ids are longs; not_self leaves out the point
     of the query's own id."""
     if k < 1:
         raise InvalidParametersError("k must be at least 1")
-    if algorithm not in ("blocked", "brute", "kd_tree", "ball_tree"):
+    if not callable(algorithm) and algorithm not in ("blocked", "brute", "kd_tree", "ball_tree"):
         raise InvalidParametersError(f"unknown algorithm {algorithm}")
     q = queries.select(col(query_id).cast("long").alias("q"), as_array(queries, features).alias("x"))
     p = points.select(col(point_id).cast("long").alias("p"), as_array(points, features).alias("y"))
     window = Window.partitionBy("q").orderBy("d", "p")
-    if algorithm == "brute":
+    if callable(algorithm):
+        found = algorithm(q, p, features, k, not_self)
+    elif algorithm == "brute":
         from tessera.functions.scalar import array_squared_distance
 
         pairs = q.join(p, F.col("q") != F.col("p")) if not_self else q.crossJoin(p)

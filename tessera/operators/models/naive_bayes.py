@@ -18,12 +18,12 @@ from tessera.operators.models.base import Model, need_rows
 
 @dataclass(frozen=True)
 class NaiveBayesModel(Model):
-    kind: str
+    kind: object
     features: tuple[str, ...]
     label: str
     classes: tuple
     counts: np.ndarray
-    parameters: dict[str, np.ndarray]
+    parameters: dict[str, np.ndarray] | list
 
     @property
     def priors(self) -> np.ndarray:
@@ -33,7 +33,9 @@ class NaiveBayesModel(Model):
         """The log joint likelihood of a row with each class."""
         out = []
         for k, prior in enumerate(self.priors):
-            if self.kind == "gaussian":
+            if not isinstance(self.kind, str):
+                score = self.kind.log_likelihood(self.features, self.parameters[k])
+            elif self.kind == "gaussian":
                 mean, var = self.parameters["mean"][k], self.parameters["variance"][k]
                 parts = [scalar.gaussian_log_density(c, m, v) for c, m, v in zip(self.features, mean, var, strict=True)]
                 score = parts[0]
@@ -61,12 +63,14 @@ class NaiveBayesModel(Model):
 @dataclass(frozen=True)
 class NaiveBayes:
     """kind: "gaussian" (sample variances), "bernoulli" (rates with one success and one failure added) or "multinomial"
-    (shares with one added to each feature's sum)."""
+    (shares with one added to each feature's sum); or a distribution of your own, with aggregates(features) -> aliased
+    aggregate Columns, parameters(row of them with the count n) -> anything, and log_likelihood(features, parameters) ->
+    Column."""
 
-    kind: str = "gaussian"
+    kind: object = "gaussian"
 
     def __post_init__(self):
-        if self.kind not in ("gaussian", "bernoulli", "multinomial"):
+        if isinstance(self.kind, str) and self.kind not in ("gaussian", "bernoulli", "multinomial"):
             raise InvalidParametersError(f"unknown kind {self.kind}")
 
     def _aggregates(self, features: Sequence[str], shift: Sequence[float]) -> list[Column]:
@@ -113,11 +117,17 @@ class NaiveBayes:
         return out
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> NaiveBayesModel:
+        if not isinstance(self.kind, str):
+            rows = sorted(df.groupBy(col(label).alias("_class")).agg(F.count("*").alias("n"), *self.kind.aggregates(features)).collect(), key=lambda r: r["_class"])
+            need_rows(len(rows))
+            return NaiveBayesModel(self.kind, tuple(features), label, tuple(r["_class"] for r in rows), np.array([r["n"] for r in rows], dtype=float), [self.kind.parameters(r) for r in rows])
         shift = self._shift(df, features)
         return self._model(features, label, self._rows(df.groupBy(col(label).alias(label)).agg(*self._aggregates(features, shift)).collect(), features, label), shift)
 
     def fit_folds(self, df: DataFrame, features: Sequence[str], label: str, fold: str, k: int) -> list[NaiveBayesModel]:
         """Models of all complements of folds from one pass: sums of all less those of the fold."""
+        if not isinstance(self.kind, str):
+            return [self.fit(df.where(F.col(fold) != i), features, label) for i in range(k)]
         shift = self._shift(df, features)
         rows = df.groupBy(fold, label).agg(*self._aggregates(features, shift)).collect()
         folds = {i: self._rows([r for r in rows if r[fold] == i], features, label) for i in range(k)}

@@ -149,9 +149,9 @@ POISSON = Family("poisson", scalar.LOG, lambda m: m, lambda y: F.greatest(y, F.l
 NORMAL = Family("normal", scalar.IDENTITY, lambda m: F.lit(1.0), lambda y: y, lambda m: F.lit(1.0), lambda y: y)
 
 
-def binomial(trials: str) -> Family:
-    """Shares of `trials` tries each."""
-    return Family("binomial", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m) * col(trials), F.lit(1e-5)), lambda y: (y + 0.5) / 2, _clamped)
+def binomial(weights: str) -> Family:
+    """Rates of rows whose iteration weight is their variance by the column weights (one over the number of tries)."""
+    return Family("binomial", scalar.LOGIT, _binary_variance, _clamped, lambda m: F.greatest(_binary_variance(m) / col(weights), F.lit(1e-5)), lambda y: (y + 0.5) / 2, _clamped)
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from tessera.operators.models.naive_bayes import NaiveBayes
 from tessera.operators.models.neighbours import KNNClassifier
 from tessera.operators.models.neural import Dense, NeuralNetwork, mlp
 from tessera.operators.models.pca import PCA
-from tessera.operators.models.regression import BERNOULLI, NORMAL, POISSON, GeneralizedLinearRegression, LinearRegression, LinearRegressionGD, LogisticRegression
+from tessera.operators.models.regression import BERNOULLI, NORMAL, POISSON, GeneralizedLinearRegression, LinearRegression, LinearRegressionGD, LogisticRegression, binomial
 from tessera.sources import datasets
 
 
@@ -69,6 +69,35 @@ def test_naive_bayes(spark):
         NaiveBayes().fit(gauss.limit(1), ["a", "b"], "y")
 
 
+class Triangles:
+    """A distribution of the caller's own: distance from the class mean."""
+
+    def aggregates(self, features):
+        return [F.avg(c).alias(f"m_{c}") for c in features]
+
+    def parameters(self, row):
+        return {k: v for k, v in row.asDict().items() if k.startswith("m_")}
+
+    def log_likelihood(self, features, parameters):
+        return -F.abs(F.col(features[0]) - parameters[f"m_{features[0]}"])
+
+
+def test_own_distribution_searcher_and_weights(spark):
+    df = frame(spark, [(1, 0), (2, 0), (8, 1), (9, 1)], ("a", "y"))
+    assert predictions(NaiveBayes(Triangles()).fit(df, ["a"], "y").transform(df)) == [0, 0, 1, 1]
+
+    def search(q, p, features, k, not_self):
+        return q.crossJoin(p).select("q", "p", F.abs(F.col("x")[0] - F.col("y")[0]).alias("d"))
+
+    q = df.withColumnRenamed("id", "qid")
+    got = [sorted(map(tuple, joins.knn_join(q, df, ["a"], 2, algorithm=a).collect())) for a in (search, "blocked")]
+    assert got[0] == got[1]
+    rates = frame(spark, [(0, 0.1, 0.2), (1, 0.3, 0.1), (2, 0.8, 0.2), (3, 0.7, 0.5)], ("x", "y", "w"))
+    tries = GeneralizedLinearRegression(binomial("w")).fit(rates, ["x"], "y").parameters
+    same = GeneralizedLinearRegression(BERNOULLI).fit(rates, ["x"], "y").parameters
+    assert np.isfinite(tries).all() and not np.allclose(tries, same)
+
+
 def test_k_means(spark):
     df = frame(spark, [(0, 0), (0, 1), (1, 0), (90, 90), (91, 90), (90, 91)], ("x", "y"))
     for init in ("forgy", "random_partition", "k_means++"):
