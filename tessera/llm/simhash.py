@@ -36,6 +36,8 @@ LEAF, BATCH = 512, 20_000
 HOT, SALTS = 200, 32
 #: Bits of each of several fingerprints, and of the pool that they are cut from.
 WIDTH, POOL = 48, 768
+#: So many heads at most, counted before, are sent to every task.
+FEW = 20_000
 #: Levels that a round of splitting goes down.
 STEP = 4
 
@@ -188,9 +190,12 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
     # Node pairs (x, y at `depth` bits, spent): first each head with itself, then pairs below the heads that are too full.
     full = cut(turned.groupBy("block", head(size).alias("x")).count().where(F.col("count") > leaf).select("block", "x"))
     crowded = full.select(F.col("block").alias("_block"), F.col("x").alias("_x"))
+    n_full = full.count()
+    if n_full <= FEW:
+        crowded = F.broadcast(crowded)
     within = (F.col("block") == F.col("_block")) & (head(size) == F.col("_x"))
     ready, depth = None, size
-    nodes = full.select("block", "x", F.col("x").alias("y"), F.lit(0).alias("spent")) if not full.isEmpty() else None
+    nodes = full.select("block", "x", F.col("x").alias("y"), F.lit(0).alias("spent")) if n_full else None
     while nodes is not None and depth + STEP <= 64:
         deeper = depth + STEP
         below = turned.select("block", head(depth).alias("up"), head(deeper).alias("node")).groupBy("block", "up", "node").count()
@@ -214,7 +219,7 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
         nodes = None if rest.isEmpty() else rest
         depth = deeper
     # Units of work: (block, key) with the fingerprints of one side or both.
-    light = turned.join(crowded, within, "left_anti").select("fp", "block", "t", F.xxhash64("block", head(size)).alias("unit"), F.lit(0).alias("side"))
+    light = (turned.join(crowded, within, "left_anti") if n_full else turned).select("fp", "t", F.xxhash64("block", head(size)).alias("unit"), F.lit(0).alias("side"))
     units = light
     if ready is not None:
         work = ready.select("*", F.xxhash64("block", "depth", "x", "y").alias("unit"))
@@ -222,7 +227,7 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
         depths = [r.depth for r in ready.select("depth").distinct().collect()]  # sixteen at most
         rows = turned.join(crowded, within, "left_semi")
         rows = rows.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), head(d).alias("node")) for d in depths))).alias("n")).select("fp", "block", "t", "n.*")
-        units = units.unionByName(rows.join(sides, ["block", "depth", "node"]).select("fp", "block", "t", "unit", "side"))
+        units = units.unionByName(rows.join(sides, ["block", "depth", "node"]).select("fp", "t", "unit", "side"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
