@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import cut, slices
 
 MOST_ROWS, FEATURES, BITS = 20_000, 512, 22
 PREFIXES = (3, 4, 5, 6, 7)
@@ -92,30 +92,39 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             swapped = [[_hashed(c) for c in counterfactuals(w)] for w in found]
             yield pa.RecordBatch.from_arrays([pa.array([_hashed(w) for w in found], pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["own", "swapped", "y"])
 
-    data = rows.mapInArrow(run, "own array<int>, swapped array<array<int>>, y int").collect()
-    return fit([r.own for r in data], [r.swapped for r in data], np.array([r.y for r in data], dtype=np.float64))
+    hashed = cut(rows.mapInArrow(run, "own array<int>, swapped array<array<int>>, y int"))
+    chosen = choose(hashed)
+    wanted = F.lit(chosen) if chosen else F.array().cast("array<int>")
+    near = hashed.select(F.array_intersect("own", wanted).alias("own"), F.transform("swapped", lambda s: F.array_intersect(s, wanted)).alias("swapped"), "y").toPandas()
+    return fit(near["own"].tolist(), near["swapped"].tolist(), near["y"].to_numpy(np.float64), chosen)
 
 
-def fit(own: list, swapped: list, y: np.ndarray, pull: float = PULL) -> dict:
+def choose(hashed: DataFrame) -> list[int]:
+    """The FEATURES features whose rates differ most between the labels, beyond what chance brings about among many."""
+    n = hashed.groupBy("y").count().collect()
+    size = {r.y: r["count"] for r in n}
+    if len(size) < 2:
+        return []
+    counts = hashed.select(F.explode("own").alias("k"), "y").groupBy("k").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    r0, r1 = ((F.col(c) + 0.5) / F.lit(size[y] + 1.0) for y, c in enumerate(("n0", "n1")))
+    pooled = (F.col("n0") + F.col("n1") + 1) / F.lit(size[0] + size[1] + 2.0)
+    z = F.abs(r1 - r0) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(0.999))) * F.lit(1 / size[0] + 1 / size[1]))
+    best = counts.where("n0 + n1 >= 5").select("k", z.alias("z")).where("z > 4").orderBy(F.desc("z"), "k").limit(FEATURES)
+    return sorted(r.k for r in best.collect())
+
+
+def fit(own: list, swapped: list, y: np.ndarray, chosen: list[int], pull: float = PULL) -> dict:
+    """own: each row's features; swapped: those of each of its counterfactuals; chosen: the features with weights."""
     if not len(y) or y.min() == y.max():
         return {"bias": -30.0 if not len(y) or y.max() == 0 else 30.0, "weights": {}}
-    n, size = len(y), 1 << BITS
-    counts = [np.bincount(np.concatenate([np.asarray(o, np.int64) for o, k in zip(own, y, strict=True) if k == c] or [np.empty(0, np.int64)]), minlength=size) for c in (0, 1)]
-    n0, n1 = n - y.sum(), y.sum()
-    rates = [(counts[0] + 0.5) / (n0 + 1), (counts[1] + 0.5) / (n1 + 1)]
-    pooled = (counts[0] + counts[1] + 1) / (n + 2)
-    z = np.abs(rates[1] - rates[0]) / np.sqrt(pooled * (1 - np.minimum(pooled, 0.999)) * (1 / n0 + 1 / n1))
-    z[counts[0] + counts[1] < 5] = 0
-    chosen = np.sort(np.argsort(-z)[:FEATURES])
-    chosen = chosen[z[chosen] > 4]  # what chance seldom brings about among so many words
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
+    n, n1 = len(y), y.sum()
+    n0 = n - n1
+    place = {k: i for i, k in enumerate(chosen)}
 
     def matrix(sets: list) -> np.ndarray:
         out = np.zeros((len(sets), len(chosen)), np.float32)
         for i, s in enumerate(sets):
-            at = place[np.asarray(s, np.int64)] if len(s) else np.empty(0, np.int64)
-            out[i, at[at >= 0]] = 1
+            out[i, [place[k] for k in s if k in place]] = 1
         return out
 
     x = matrix(own)

@@ -48,7 +48,8 @@ def test_counterfactual_pull_spares_neutral_mentions():
         sets.append(found)
         y.append(float(bad))
     own, swapped = [toxicity._hashed(s) for s in sets], [[toxicity._hashed(c) for c in toxicity.counterfactuals(s)] for s in sets]
-    fair, plain = (toxicity.fit(own, swapped, np.array(y), pull) for pull in (20.0, 0.0))
+    chosen = sorted({k for o in own for k in o} | {k for s in swapped for c in s for k in c})
+    fair, plain = (toxicity.fit(own, swapped, np.array(y), chosen, pull) for pull in (20.0, 0.0))
     neutral = "w1 w2 a muslim w3"
     assert toxicity.score_text(neutral, fair["bias"], fair["weights"], {}) < 0.5 < toxicity.score_text(neutral, plain["bias"], plain["weights"], {})
     assert toxicity.score_text("w1 scum w3", fair["bias"], fair["weights"], {}) > 0.5
