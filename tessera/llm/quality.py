@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     """The model: word vectors from all of docs, and the network from labelled rows."""
     vectors, rarity = word_vectors(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, rarity))
-    rows = sample(docs.select(doc_id, F.col(text).alias("_text")), labels, label, usable, doc_id, MOST_ROWS).select("_text", "y")
+    rows = sample(docs, labels, label, usable, doc_id, text, MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}

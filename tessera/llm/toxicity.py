@@ -73,18 +73,20 @@ def _hashed(found: set[str]) -> list[int]:
     return sorted({k for w in found for k in _features(w)})
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, doc_id: str, most: int) -> DataFrame:
-    """At most about `most` labelled rows of docs (doc_id, text, y), chosen by a hash of doc_id."""
-    good = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & usable).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, doc_id: str, text: str, most: int) -> DataFrame:
+    """(_text, y) of labelled rows of docs with at most about `most` ids, chosen by a hash; equal texts of one label count
+    once, so repeated rows and groups of copies can't fill the sample."""
+    good = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & usable).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).distinct()
     n = good.count()
     if n > most:
         good = good.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    return docs.join(F.broadcast(good), F.col(f"`{doc_id}`") == F.col("_id"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias("_text"))
+    return docs.join(F.broadcast(good), F.col(f"`{doc_id}`") == F.col("_id")).select("_text", "y").distinct()
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> dict:
     """The model: intercept, and words' weights by hash."""
-    rows = sample(docs.select(doc_id, F.col(text).alias("_text")), labels, label, usable, doc_id, MOST_ROWS).select("_text", "y")
+    rows = sample(docs, labels, label, usable, doc_id, text, MOST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
