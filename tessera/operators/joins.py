@@ -19,6 +19,8 @@ from tessera.functions.scalar import squared_distance
 
 #: Rows of a side that one task of a blocked nearest-neighbour join holds.
 BLOCK = 8192
+#: Edges of a graph that one task takes.
+ONE_TASK = 500_000
 #: A side up to so many rows and bytes, counted before, may be sent to every task.
 BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
@@ -129,15 +131,35 @@ def epsilon_join(a: DataFrame, b: DataFrame, features: Sequence[str], eps: float
     return left.join(right, "cell").withColumn("distance", d).where(F.col("distance") < F.lit(float(eps))).select("a", "b", "distance")
 
 
+def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of the nodes of all edges given."""
+    edges = pd.concat([*batches, pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})], ignore_index=True)
+    nodes, place = np.unique(edges.to_numpy(np.int64), return_inverse=True)
+    u, v = place.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(label[u], label[v]), label.copy()
+        for at in (u, v, before[u], before[v]):
+            np.minimum.at(label, at, low)
+        label = label[label]
+        if np.array_equal(before, label):
+            break
+    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v); nodes adds those without edges.
 
-    Rounds of neighbour minima and pointer jumps, each cut by a checkpoint, so plans don't grow."""
+    Rounds of neighbour minima and pointer jumps, each cut by a checkpoint, so plans don't grow; a graph of ONE_TASK edges at
+    most, counted before, is done in one task instead."""
     both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct()
     both = cut(both)
     labels = both.select(F.col("u").alias("node")).distinct()
     if nodes is not None:
         labels = labels.union(nodes.select(col(nodes.columns[0]).alias("node"))).distinct()
+    if both.count() <= ONE_TASK:
+        found = both.coalesce(1).mapInPandas(_components, "node long, component long")
+        return labels.join(found, "node", "left").select("node", F.coalesce("component", F.col("node").cast("long")).alias("component"))
     labels = cut(labels.withColumn("component", F.col("node")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))

@@ -150,6 +150,15 @@ def test_nearest_neighbours(spark):
         KNNClassifier(9).fit(k4, ["a", "b", "c"], "y")
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    edges = spark.createDataFrame([(3, 4), (4, 9), (1, 2), (7, 7), *((20 + i, 21 + i) for i in range(30))], "u long, v long")
+    want = {3: 3, 4: 3, 9: 3, 1: 1, 2: 1, 5: 5} | {20 + i: 20 for i in range(31)}
+    nodes, old = spark.createDataFrame([(5,), (3,)], "id long"), joins.ONE_TASK
+    for joins.ONE_TASK in (old, 0):
+        assert {r.node: r.component for r in joins.connected_components(edges, nodes).collect()} == want
+    joins.ONE_TASK = old
+
+
 def test_epsilon_join_is_strict_and_counts_self(spark):
     df = frame(spark, [(0, 0), (1, 0), (0.5, 0)], ("x", "y"))
     got = {(r.a, r.b) for r in joins.epsilon_join(df, df, ["x", "y"], 1.0).collect()}
