@@ -228,7 +228,8 @@ def blocks(root: Node, noise: set[int]) -> list[str]:
 
 def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
     root = parse(page or "")
-    number(root)
+    if noise:
+        number(root)
     return "\n".join(blocks(root, noise) or (blocks(root, set()) if noise else []))
 
 
@@ -297,8 +298,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 host, row, node = [], [], []
                 for h, r, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     root = parse(page or "")
-                    found = [n.key for n, *_ in number(root)]
                     if not any(is_article(n) for n in _elements(root)):  # others are read from their article
+                        found = [n.key for n, *_ in number(root)]
                         host += [h] * len(found)
                         row += [r] * len(found)
                         node += found
@@ -315,8 +316,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     row = F.xxhash64("id", "url", "html")  # equal rows share their nodes
     asked = body.select("host", row.alias("row"), "html").mapInArrow(keys, "host string, row long, node long").distinct()
     asked = asked.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    found = asked.join(low, ["host", "node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("nodes"))
-    joined = body.withColumn("row", row).join(found, "row", "left")
+    found = cut(asked.join(low, ["host", "node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("nodes")))
+    if found.isEmpty():  # then no page moves
+        joined = body.withColumn("nodes", F.array().cast("array<long>"))
+    else:
+        joined = body.withColumn("row", row).join(found, "row", "left")
     return joined.select("id", "url", "html", "nodes").mapInArrow(run, schema)
 
 
