@@ -8,12 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, ledger, quality, simhash
+from tessera.llm import bpe, decontam, ledger, quality, similar
 from tessera.llm.common import use_checkpoint_dir
 
-#: Fingerprints a document has for near duplicates; links of similarity 0.8 and over nearly always show in one of them.
-TABLES = 32
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier doesn't reject; it learns from the labels outside the held-out third."""
@@ -23,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: shingles of five words, similarity of about 0.8 or more."""
-    return simhash.distinct(docs, words=5, tables=TABLES)
+    """One row of each group of near duplicates: links at a Jaccard similarity of 0.8 or more on shingles of five words."""
+    return similar.distinct(docs, words=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

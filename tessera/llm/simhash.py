@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     tables: link by any of so many independent fingerprints of WIDTH bits instead of one of 64 (fp is then a hash of them
     all). A shared budget of 3 bits finds hardly any pair of similarity 0.8, where a bit differs with probability 0.15;
-    of so many tables one is likely to be within it."""
+    of so many tables one is likely to be within it. Links are not verified and families merge through them: similar has
+    the exact groups."""
     prints = fingerprints(docs, text, (doc_id,), "fp", words, tables)
     if tables:
         prints = cut(prints.withColumnRenamed("fp", "fps").withColumn("fp", F.xxhash64("fps")))
@@ -309,13 +310,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         prints = cut(prints)
         heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
         pairs = links(heads.select("fp"), errors)
+    return named(prints, heads, pairs, doc_id)
+
+
+def named(prints: DataFrame, heads: DataFrame, pairs: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, fp, component_id) of prints. heads: each fp's smallest doc_id (head) and rows (n); pairs: links (a, b) of fps."""
     left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), heads.select(F.col("fp").alias("b"), F.col("head").alias("v"))
     roots = components(pairs.join(left, "a").join(right, "b").select("u", "v").where("u is not null and v is not null"))
-    named = heads.join(roots, heads["head"] == roots["node"], "left").select("fp", F.coalesce("root", "head").alias("component_id"))
+    known = heads.join(roots, heads["head"] == roots["node"], "left").select("fp", F.coalesce("root", "head").alias("component_id"))
     # A fingerprint of more than 1 / HOT of the rows (at most HOT such) is dealt out under SALTS keys.
     hot = [r.fp for r in heads.where(F.col("n") > F.lit(max(1, prints.count() // HOT))).select("fp").collect()]
     salted = prints.withColumn("_salt", F.when(F.col("fp").isin(hot), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).otherwise(0))
-    spread = named.withColumn("_salt", F.explode(F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    spread = known.withColumn("_salt", F.explode(F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(spread, ["fp", "_salt"], "left").select(doc_id, "fp", F.when(F.col(doc_id).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -323,7 +329,12 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """docs with one row of each group of near duplicates: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Of rows that share the kept doc_id, the one with the smallest hash of its text stays."""
-    groups = cut(near_duplicates(docs, doc_id, text, words, errors, tables))
+    return firsts(docs, near_duplicates(docs, doc_id, text, words, errors, tables), doc_id, text)
+
+
+def firsts(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs that distinct keeps, by (doc_id, component_id)."""
+    groups = cut(groups)
     kept = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct().hint("shuffle_hash")
     out = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi")
     repeated = cut(groups.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept")))
