@@ -1,11 +1,12 @@
 """Quotation linking: conversations without quotes, in reply order, by DataFrame operations only.
 
 A line's quote level is the number of `>` at its start (each may be followed by spaces). Neighbouring lines of one level
-are a passage. Passages of level 0 are the message's own text. A quoted passage, and each paragraph of own text (parts
-between blank lines) and each own text as a whole, is normalised (lower case, runs of white space to one space, trimmed)
-and hashed. A quoted passage links to the latest earlier message of its conversation whose own text, or a paragraph or
-line of it, has that hash; level n quotes what a message at depth n wrote. A message replies to the latest message that
-any of its level-1 passages links to, else to the message before it.
+are a passage. Passages of level 0 are the message's own text. Each own text as a whole, each of its passages, and the
+paragraphs (parts between blank lines) and lines of both are normalised (lower case, runs of white space to one space,
+trimmed) and hashed. A quoted passage links to the latest earlier message of its conversation that has its hash; if none
+has, to the latest that has the hash of one of its paragraphs, and if none has, of one of its lines. Level n quotes what a
+message at depth n wrote. A message replies to the latest message that any of its level-1 passages links to, else to the
+message before it. n_linked counts passages that link, equal ones of one level once.
 
 Result: one row per message row, with the columns conv_id, turn, role, text (own text, without quotes and blank lines
 at its ends), reply_to (turn; null for a first message), depth (replies up to the first message), n_quotes, n_linked,
@@ -40,6 +41,21 @@ def _bare(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(text, r"^\s*\n", ""), F.lit(" \t\r\n\x0b\x0c"))
 
 
+def _split(text: Column, by: str) -> Column:
+    return F.filter(F.split(text, by), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+
+
+def _pieces(text: Column) -> Column:
+    """Hashes of the own text, its paragraphs and its lines."""
+    return F.transform(F.filter(F.concat(F.array(_bare(text)), _split(text, r"\n\s*\n"), _split(text, r"\n")), lambda p: F.trim(p) != ""), _hash)
+
+
+def _asked(text: Column) -> Column:
+    """array<struct<part, h>>: the hashes that a quoted passage is sought by."""
+    part = lambda pieces, k: F.transform(pieces, lambda p: F.struct(F.lit(k).alias("part"), _hash(p).alias("h")))
+    return F.concat(part(F.array(text), 0), part(_split(text, r"\n\s*\n"), 1), part(_split(text, r"\n"), 2))
+
+
 def _lines(text: Column) -> Column:
     """array<struct<level, line>> of the text's lines, markers removed."""
     level = lambda line: F.char_length(F.regexp_replace(F.regexp_extract(line, MARKER, 0), "[^>]", ""))
@@ -62,18 +78,21 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     plain = F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("text")))
     parts = lines.withColumn("passages", F.when(quoted, _passages(F.col("lines"))).otherwise(plain))
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: _bare(p["text"])), "\n")
-    quotes = F.filter(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), _hash(p["text"]).alias("h"), _normal(p["text"]).alias("t"))), lambda q: q["t"] != "")
-    each = cut(parts.select("conv", "turn", "role", _bare(own).alias("body"), F.transform(quotes, lambda q: F.struct(q["level"].alias("level"), q["h"].alias("h"))).alias("quotes")))
+    quotes = F.filter(F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), _hash(p["text"]).alias("h"), _normal(p["text"]).alias("t"), _asked(p["text"]).alias("asked"))), lambda q: q["t"] != "")
+    pieces = F.array_distinct(F.concat(_pieces(own), F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: _pieces(p["text"])))))
+    each = cut(parts.select("conv", "turn", "role", _bare(own).alias("body"), F.transform(quotes, lambda q: F.struct(q["level"].alias("level"), q["h"].alias("h"), q["asked"].alias("asked"))).alias("quotes"), F.when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), pieces).alias("pieces")))
 
     # Hashed originals are needed only where a conversation has quotes at all.
-    asks = cut(each.where("size(quotes) > 0 and conv is not null and turn is not null").select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.*").distinct())
-    pieces = F.array_distinct(F.transform(F.filter(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", r"\n")), lambda p: F.trim(p) != ""), lambda p: _hash(p)))
+    # passage: the whole's hash; part: 0 for the whole, 1 for a paragraph, 2 for a line.
+    asks = each.where("size(quotes) > 0 and conv is not null and turn is not null").select("conv", "turn", F.explode("quotes").alias("q"))
+    asks = cut(asks.select("conv", "turn", "q.level", F.col("q.h").alias("passage"), F.explode("q.asked").alias("x")).select("conv", "turn", "level", "passage", "x.*").distinct())
     wanted = asks.select("conv", "h").distinct()
-    there = each.where("conv is not null and turn is not null").select("conv", F.col("turn").alias("source"), F.explode(pieces).alias("h")).join(wanted, ["conv", "h"], "left_semi")
+    there = each.where("conv is not null and turn is not null").select("conv", F.col("turn").alias("source"), F.explode("pieces").alias("h")).join(wanted, ["conv", "h"], "left_semi")
     # The sources of one hash as a sorted list would be unbounded: the latest before each quoting turn comes from a range of turns in order.
-    events = there.select("conv", "h", F.col("source").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level")).union(asks.select("conv", "h", F.col("turn"), F.lit(0), F.col("level")))
+    events = there.select("conv", "h", F.col("source").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("part")).union(asks.select("conv", "h", F.col("turn"), F.lit(0), "level", "passage", "part"))
     before = Window.partitionBy("conv", "h").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
     linked = events.withColumn("source", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(before)).where("kind = 0")
+    linked = linked.where("source is not null").groupBy("conv", "at", "level", "passage").agg(F.min(F.struct("part", (-F.col("source")).alias("back"))).alias("best")).select("conv", "at", "level", (-F.col("best.back")).alias("source"))
     told = linked.groupBy("conv", F.col("at").alias("turn")).agg(F.max(F.when(F.col("level") == 1, F.col("source"))).alias("to"), F.count("source").alias("n_linked"))
 
     # Turns are numbered in two steps, within buckets of turns and over the buckets, so no window holds a conversation.

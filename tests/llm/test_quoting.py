@@ -53,3 +53,19 @@ def test_random_trees_in_preorder(spark):
 def test_query_keeps_every_message(spark, sf_dir):
     want = sorted((r.conv_id, r.turn, r.role) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect())
     assert sorted((r.conv_id, r.turn, r.role) for r in queries.op8_quotation_linking(spark, sf_dir).collect()) == want
+
+
+def test_own_passages_and_parts_of_quotes_link(spark):
+    rows = [
+        (0, "First point\nSecond point\n\nMiddle part\n\nLast part"),
+        (1, "> First point\nOwn one\nOwn two\n> Second point\nOwn three\nOwn four"),
+        (2, "plain"),
+        (3, "> Own three\n> Own four\nto a passage"),
+        (4, "plain too"),
+        (5, "> Middle part\n>\n> Last part\nto two of three paragraphs"),
+        (6, "> First point\n> Second point\n> never said\nto two lines of a passage"),
+        (7, "> never said either\nto nobody"),
+    ]
+    out = {r.turn: r for r in quoting.link(spark.createDataFrame([(1, t, "u", x) for t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[t].reply_to for t in range(8)] == [None, 0, 1, 1, 3, 0, 0, 6]
+    assert [out[t].n_linked for t in range(8)] == [0, 2, 0, 1, 0, 1, 1, 0]
