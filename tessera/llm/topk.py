@@ -8,8 +8,8 @@ norms of what remains) reaches the k-th best score known for the query, and the
 each group are merged by rank. All bounds hold with room for rounding, so results are exact; ties go to the smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id as queries;
-shorter vectors count as padded with zeros. Repeated rows are candidates each on its own; of repeated query ids all
-rows count as that query's own and none of them is its candidate. Fewer candidates than k give as many rows.
+shorter vectors count as padded with zeros. Repeated rows are candidates each on its own. Of repeated query ids
+every row asks, the best pairs of all of them count (a candidate once for each row), and none of them is its candidate. Fewer candidates than k give as many rows.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _matrix(vectors: pd.Series, d: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where is_query holds, the k candidates of the highest score."""
+    """(query_id, rank, vec_id, score): for each id of rows where is_query holds, the k pairs of the highest score."""
     x = F.col(f"`{embedding}`")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound = vectors.where(x.isNotNull() & ~bad & F.col(f"`{vec_id}`").isNotNull())
@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ve
     stored = rows.select("id", "v", F.lit(False).alias("asks"), every(nq).alias("qb"), block(nc).alias("cb"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["asks"]].drop_duplicates("id"), pdf[~pdf["asks"]].sort_values("id", kind="stable")
+        q, c = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id", kind="stable")
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         d = max(1, *(max(map(len, x["v"])) for x in (q, c)))

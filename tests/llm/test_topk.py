@@ -49,3 +49,14 @@ def test_large_components(spark, scale):
 def test_query_matches_sql(spark, sf_dir):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     assert sorted(tuple(r) for r in queries.op4_topk(spark, sf_dir).collect()) == sorted(duckdb.sql(queries.ORACLES["op4_topk"]).fetchall())
+
+
+def test_every_row_of_a_repeated_query_id_asks(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.5, 0.5]), (1, [3.0, 0.0]), (2, [0.0, 4.0]), (3, [1.0, 1.0]), (4, [2.0, 0.5]), (5, [0.0, 2.5])]
+    duckdb.sql("CREATE OR REPLACE TEMP TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    duckdb.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    want = sorted(duckdb.sql(queries.ORACLES["op4_topk"]).fetchall())
+    duckdb.sql("DROP TABLE temp.embeddings")
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<float>").coalesce(1)
+        assert sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 50 == 0).collect()) == want
