@@ -1,4 +1,4 @@
-"""Kernel support vector machines and Gaussian processes. Both hold their training rows, so they are bounded: an error,
+"""Kernel support vector machines and Gaussian processes. Both hold their training rows, so fits are bounded: an error,
 not a sample, beyond MOST_ROWS. Scoring is one pass that sends the support to every task."""
 
 from __future__ import annotations
@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,25 @@ class SVMModel(Model):
 
 
 def row_sums(df: DataFrame, features: Sequence[str], kernel: kernels.Kernel, id: str = "id", intercept: bool = True) -> DataFrame:
-    """(id, s): the sum of the kernel of each row with all rows."""
-    pdf = joins.collect_matrix(df, features, id, MOST_ROWS)
-    x = pdf[list(features)].to_numpy(float)
-    x = np.hstack([np.ones((len(x), 1)), x]) if intercept else x
-    return joins.kernel_sums(df.select(id, *features), features, kernel, x, np.ones(len(x)), "s", intercept).select(id, "s")
+    """(id, s): the sum of the kernel of each row with all rows. Rows are dealt to block pairs, so there is no limit to them."""
+    rows = df.select(col(id), joins.as_array(df, features).alias("_x")).groupBy(f"`{id}`", "_x").agg(F.count("*").alias("_n")).withColumn("_key", F.xxhash64(f"`{id}`", "_x"))
+    rows = joins.cut(rows)
+    blocks = max(1, -(-rows.count() // joins.BLOCK))
+    own, every = F.pmod("_key", F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = rows.select("_key", "_x", "_n", F.lit(True).alias("asks"), own.alias("qb"), every.alias("pb")).unionByName(rows.select("_key", "_x", "_n", F.lit(False).alias("asks"), every.alias("qb"), own.alias("pb")))
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"_key": np.empty(0, np.int64), "s": np.empty(0)})
+        x, y = (np.array([list(v) for v in side["_x"]], dtype=float) for side in (a, b))
+        if intercept:
+            x, y = (np.hstack([np.ones((len(v), 1)), v]) for v in (x, y))
+        weights = b["_n"].to_numpy(float)
+        return pd.DataFrame({"_key": a["_key"].to_numpy(), "s": np.concatenate([kernel.matrix(x[at : at + 1024], y) @ weights for at in range(0, len(x), 1024)])})
+
+    sums = sides.groupBy("qb", "pb").applyInPandas(group, "_key long, s double").groupBy("_key").agg(F.sum("s").alias("s"))
+    return rows.join(sums, "_key").select(F.col(f"`{id}`"), "s", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(F.col(f"`{id}`"), "s")
 
 
 @dataclass(frozen=True)

@@ -258,3 +258,16 @@ def test_penalties():
     assert abs(scalar.l2(0.5).cost(w) - np.linalg.norm(w) / 12) < 1e-12 and np.allclose(scalar.l2(0.5).grad(w), w / 6)
     both = scalar.elastic_net(0.5, 0.25)
     assert np.allclose(both.grad(w), scalar.l1(0.5).grad(w) + scalar.l2(0.25).grad(w)) and scalar.NO_PENALTY.cost(w) == 0
+
+
+def test_row_sums_have_no_limit_of_rows(spark):
+    from tessera.functions import kernels
+    from tessera.operators.models import kernel_models
+
+    n = kernel_models.MOST_ROWS + 50
+    frame = spark.range(n).selectExpr("id", "CAST(id % 7 AS double) AS x").union(spark.createDataFrame([(3, 3.0)], "id long, x double"))
+    got = kernel_models.row_sums(frame, ["x"], kernels.squared_exponential()).collect()
+    assert len(got) == n + 1
+    counts = np.bincount(np.r_[np.arange(n) % 7, 3])
+    want = [float(counts @ np.exp(-((k - np.arange(7.0)) ** 2) / 2)) for k in range(7)]
+    assert all(abs(r.s - want[r.id % 7]) < 1e-6 for r in got)
