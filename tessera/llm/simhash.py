@@ -18,8 +18,7 @@ A null doc_id takes part in no group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +33,6 @@ from tessera.llm.common import cut, free_name, slices
 LEAF, BATCH = 512, 20_000
 #: Fingerprints of more than 1 / HOT of all rows are salted with SALTS values.
 HOT, SALTS = 200, 32
-#: Bits of each of several fingerprints, and of the pool that they are cut from.
-WIDTH, POOL = 48, 768
 #: So many heads at most, counted before, are sent to every task.
 FEW = 20_000
 #: Levels that a round of splitting goes down.
@@ -69,52 +66,27 @@ def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The 64-bit fingerprint of one text, by the module's rules."""
+    return majority(_shingles(text, words))
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """The 64-bit fingerprint of shingle hashes, given in runs."""
     counts, total = np.zeros(64, np.int64), 0
-    for h in _shingles(text, words):
+    for h in runs:
         counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         total += len(h)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def sketch(text: str | None, words: int, tables: int) -> list[int]:
-    """`tables` fingerprints of WIDTH bits each, the bits first in signed longs. They are cut from fixed shuffles of POOL
-    bits, each the majority of further hashes that are mixed from the shingles' own. No shingle gives zeros."""
-    k = POOL // 64
-    counts, total = np.zeros(POOL, np.int64), 0
-    steps = (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for whole in _shingles(text, words):
-        for at in range(0, len(whole), 4096):
-            h = whole[at : at + 4096, None] + steps  # the mixing steps of SplitMix64
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-            total += len(h)
-    bits = np.zeros((tables, 64), np.uint8)
-    bits[:, :WIDTH] = (counts * 2 > total)[_places(tables)]
-    return np.packbits(bits, axis=1).view(">i8")[:, 0].tolist()
-
-
-@cache
-def _places(tables: int) -> np.ndarray:
-    """Which bits of the pool make up each table."""
-    shuffles = [np.random.default_rng(i).permutation(POOL) for i in range(-(-tables * WIDTH // POOL))]
-    return np.concatenate(shuffles)[: tables * WIDTH].reshape(tables, WIDTH)
-
-
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp", words: int = 3, tables: int = 0) -> DataFrame:
-    """The columns of keep, and the fingerprint as a signed long; with tables, the sketch as an array of them."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp", words: int = 3) -> DataFrame:
+    """The columns of keep, and the fingerprint as a signed long."""
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.ArrayType(T.LongType(), False) if tables else T.LongType(), False)])
+    schema = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                texts = batch.column("_text").to_pylist()
-                if tables:
-                    out = pa.array([sketch(t, words, tables) for t in texts], pa.list_(pa.int64()))
-                else:
-                    out = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+                out = pa.array(np.array([fingerprint(t, words) for t in batch.column("_text").to_pylist()], dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
@@ -169,23 +141,19 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return label
 
 
-def _turned(value, block: int, size: int, width: int = 64):
-    """The first `width` bits turned left so that the block stands first."""
+def _turned(value, block: int, size: int):
+    """The bits turned left so that the block stands first."""
     k = block * size
-    return value if k == 0 else F.shiftleft(value, k).bitwiseOR(F.shiftleft(F.shiftrightunsigned(value, 64 - k), 64 - width))
-
+    return value if k == 0 else F.shiftleft(value, k).bitwiseOR(F.shiftrightunsigned(value, 64 - k))
 
-def links(prints: DataFrame, errors: int = 3, leaf: int = LEAF) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that join all linked ones into groups. prints: distinct, column fp."""
-    return table_links(prints.select("fp", F.lit(0).alias("table"), F.col("fp").alias("value")), 64, errors, leaf)
 
+def links(prints: DataFrame, errors: int = 3, leaf: int = LEAF, partners: int = 0) -> DataFrame:
+    """Pairs (a, b) of different fingerprints that join all linked ones into groups. prints: distinct, column fp.
 
-def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF) -> DataFrame:
-    """The same for values of the first `width` bits in several tables: pairs (a, b) of fps whose values in one table link.
-    values: fp, table, value, each (table, value) once."""
-    size = width // (errors + 1)
-    turned = values.select("fp", "table", F.posexplode(F.array(*(_turned(F.col("value"), b, size, width) for b in range(errors + 1)))).alias("block", "t"))
-    turned = turned.select("fp", (F.col("table") * (errors + 1) + F.col("block")).alias("block"), "t")
+    partners: for callers who verify links by other means, each task keeps real links only, for each fingerprint those to
+    at most so many smaller ones, instead of the stars of a forest (whose ends needn't link)."""
+    size = 64 // (errors + 1)
+    turned = prints.select("fp", F.posexplode(F.array(*(_turned(F.col("fp"), b, size) for b in range(errors + 1)))).alias("block", "t"))
     head = lambda bits: F.shiftrightunsigned("t", 64 - bits)
     # Node pairs (x, y at `depth` bits, spent): first each head with itself, then pairs below the heads that are too full.
     full = cut(turned.groupBy("block", head(size).alias("x")).count().where(F.col("count") > leaf).select("block", "x"))
@@ -195,11 +163,13 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
         crowded = F.broadcast(crowded)
     within = (F.col("block") == F.col("_block")) & (head(size) == F.col("_x"))
     ready, depth = None, size
+    dense = cut(turned.join(crowded, within, "left_semi")) if n_full else None
     nodes = full.select("block", "x", F.col("x").alias("y"), F.lit(0).alias("spent")) if n_full else None
     while nodes is not None and depth + STEP <= 64:
         deeper = depth + STEP
-        below = turned.select("block", head(depth).alias("up"), head(deeper).alias("node")).groupBy("block", "up", "node").count()
-        below = below.join(nodes.select("block", F.explode(F.array("x", "y")).alias("up")).distinct(), ["block", "up"], "left_semi")
+        # Only what stands in crowded heads is counted, and of that only what stands below a waiting node.
+        wanted = cut(nodes.select("block", F.explode(F.array("x", "y")).alias("up")).distinct())
+        below = dense.select("block", head(depth).alias("up"), head(deeper).alias("node")).join(wanted, ["block", "up"], "left_semi").groupBy("block", "up", "node").count()
         left = below.select("block", F.col("up").alias("x"), F.col("node").alias("x2"), F.col("count").alias("nx"))
         right = below.select("block", F.col("up").alias("y"), F.col("node").alias("y2"), F.col("count").alias("ny"))
         pairs = (
@@ -225,8 +195,7 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
         work = ready.select("*", F.xxhash64("block", "depth", "x", "y").alias("unit"))
         sides = work.select("block", "depth", "unit", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("node"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("node"), F.lit(1).alias("side")), F.struct(F.col("y").alias("node"), F.lit(2).alias("side"))))).alias("s")).select("block", "depth", "unit", "s.*")
         depths = [r.depth for r in ready.select("depth").distinct().collect()]  # sixteen at most
-        rows = turned.join(crowded, within, "left_semi")
-        rows = rows.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), head(d).alias("node")) for d in depths))).alias("n")).select("fp", "block", "t", "n.*")
+        rows = dense.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), head(d).alias("node")) for d in depths))).alias("n")).select("fp", "block", "t", "n.*")
         units = units.unionByName(rows.join(sides, ["block", "depth", "node"]).select("fp", "t", "unit", "side"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,18 +209,18 @@ def table_links(values: DataFrame, width: int, errors: int = 3, leaf: int = LEAF
                 last = whole["unit"].iloc[-1]
                 done = whole["unit"].to_numpy() != last
                 if done.any():  # the last unit may go on in the next batch
-                    yield _joined(whole[done], errors)
+                    yield _joined(whole[done], errors, partners)
                     whole = whole[~done]
                 held, rows = [whole], len(whole)
         if rows:
-            yield _joined(pd.concat(held, ignore_index=True), errors)
+            yield _joined(pd.concat(held, ignore_index=True), errors, partners)
 
     dealt = units.repartition("unit").sortWithinPartitions("unit", "side", F.col("t") < 0, "t")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def _joined(pdf: pd.DataFrame, errors: int) -> pd.DataFrame:
-    """Links of whole units, as stars of a spanning forest in each batch."""
+def _joined(pdf: pd.DataFrame, errors: int, partners: int = 0) -> pd.DataFrame:
+    """Links of whole units, as stars of a spanning forest in each batch or, with partners, as links' own ends."""
     prints, fps = pdf["t"].to_numpy(np.int64).view(np.uint64), pdf["fp"].to_numpy(np.int64)
     unit, side = pdf["unit"].to_numpy(), pdf["side"].to_numpy()
     new = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
@@ -264,6 +233,13 @@ def _joined(pdf: pd.DataFrame, errors: int) -> pd.DataFrame:
     if not len(x):
         return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     values, place = np.unique(fps, return_inverse=True)
+    if partners:
+        low, high = np.minimum(place[x], place[y]), np.maximum(place[x], place[y])
+        order = np.lexsort((low, high))
+        low, high = low[order], high[order]
+        first = np.flatnonzero(np.r_[True, high[1:] != high[:-1]])
+        kept = np.arange(len(high)) - np.repeat(first, np.diff(np.r_[first, len(high)])) < partners
+        return pd.DataFrame({"a": values[low[kept]], "b": values[high[kept]]})
     label = forest(len(values), place[x], place[y])
     far = np.flatnonzero(label != np.arange(len(values)))
     return pd.DataFrame({"a": values[label[far]], "b": values[far]})
@@ -289,28 +265,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3, tables: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id of its group.
-
-    tables: link by any of so many independent fingerprints of WIDTH bits instead of one of 64 (fp is then a hash of them
-    all). A shared budget of 3 bits finds hardly any pair of similarity 0.8, where a bit differs with probability 0.15;
-    of so many tables one is likely to be within it. Links are not verified and families merge through them: similar has
-    the exact groups."""
-    prints = fingerprints(docs, text, (doc_id,), "fp", words, tables)
-    if tables:
-        prints = cut(prints.withColumnRenamed("fp", "fps").withColumn("fp", F.xxhash64("fps")))
-        heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n"), F.first("fps").alias("fps")))
-        values = heads.select("fp", F.posexplode("fps").alias("table", "value"))
-        prints = prints.drop("fps")
-        firsts = cut(values.groupBy("table", "value").agg(F.min("fp").alias("first")))
-        equal = values.join(firsts, ["table", "value"]).where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-        near = table_links(firsts.select(F.col("first").alias("fp"), "table", "value"), WIDTH, errors)
-        pairs = equal.unionByName(near).distinct()
-    else:
-        prints = cut(prints)
-        heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
-        pairs = links(heads.select("fp"), errors)
-    return named(prints, heads, pairs, doc_id)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id of its group."""
+    prints = cut(fingerprints(docs, text, (doc_id,), "fp", words))
+    heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
+    return named(prints, heads, links(heads.select("fp"), errors), doc_id)
 
 
 def named(prints: DataFrame, heads: DataFrame, pairs: DataFrame, doc_id: str) -> DataFrame:
@@ -325,11 +284,11 @@ def named(prints: DataFrame, heads: DataFrame, pairs: DataFrame, doc_id: str) ->
     return salted.join(spread, ["fp", "_salt"], "left").select(doc_id, "fp", F.when(F.col(doc_id).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3, tables: int = 0) -> DataFrame:
+def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id. Rows with a null doc_id stay.
 
     Of rows that share the kept doc_id, the one with the smallest hash of its text stays."""
-    return firsts(docs, near_duplicates(docs, doc_id, text, words, errors, tables), doc_id, text)
+    return firsts(docs, near_duplicates(docs, doc_id, text, words, errors), doc_id, text)
 
 
 def firsts(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:

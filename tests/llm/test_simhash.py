@@ -91,32 +91,12 @@ def test_query(spark, sf_dir):
     assert got == {r.doc_id: (f"{p:016x}", rows[g].doc_id) for r, p, g in zip(rows, prints, label, strict=True)}
 
 
-def test_tables_find_copies_of_similarity_over_four_fifths(spark):
+def test_partners_are_real_links(spark):
     random.seed(11)
-    vocabulary = [f"w{i}" for i in range(4_000)]
-    rows, family, pairs = [], {}, []
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    for k in range(60):
-        base = random.choices(vocabulary, k=random.randint(150, 600))
-        for copy in range(3):
-            words = list(base)
-            for at in random.sample(range(len(words)), len(words) // 80 * copy):
-                words[at] = random.choice(vocabulary)
-            family[len(rows)] = k
-            rows.append((len(rows), words))
-    for i, a in rows:
-        for j, b in rows[:i]:
-            if family[i] == family[j] and len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
-                pairs.append((i, j))
-    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, tables=32).collect()}
-    assert all(family[i] == family[g] for i, g in group.items())
-    assert len(pairs) > 50 and sum(group[i] == group[j] for i, j in pairs) >= 0.9 * len(pairs)
-    assert simhash.distinct(frame, words=5, tables=32).count() == len(set(group.values()))
-
-
-def test_equal_values_in_a_table_are_linked_once(spark):
-    texts = ["a b c d e f g"] * 5 + ["A  b c d e f g", "", None]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, tables=4).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 6}
+    bases = [random.getrandbits(64) for _ in range(40)]
+    values = sorted({b ^ sum(1 << k for k in random.sample(range(64), random.randint(0, 5))) for b in bases for _ in range(40)})
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    near = lambda a, b: 0 < ((a ^ b) % (1 << 64)).bit_count() <= 3
+    linked = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), leaf=8, partners=3).collect()}
+    assert linked and all(a < b and near(a, b) for a, b in linked)
+    assert {b for _, b in linked} == {b for b in signed if any(a < b and near(a, b) for a in signed)}

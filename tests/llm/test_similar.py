@@ -30,6 +30,37 @@ def test_links_are_exactly_those_of_four_fifths(spark):
     assert {r.doc_id: r.component_id for r in similar.near_duplicates(frame).collect()} == dict(enumerate(label))
 
 
+def test_a_family_of_a_third_of_all_rows_in_small_blocks(spark, monkeypatch):
+    """Chains of edits, so that the family's ends don't link; blocks, batches and crowds so small that each way is taken."""
+    random.seed(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(180):
+        words = list(base)
+        for at in random.sample(range(150), random.choice([0, 1, 2, 3, 4, 6])):
+            words[at] = f"x{k}y{at}"
+        texts.append(words)
+    texts += [[f"v{random.randrange(5_000)}" for _ in range(60)] for _ in range(360)]
+    random.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert 380 < len(set(label)) < 480
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    emitted = []
+    whole = similar.apart
+    for block, batch, limit, crowd in ((128, 20_000, 4096, 10_000), (8, 64, 16, 10_000), (8, 64, 16, 20)):
+        for name, value in (("BLOCK", block), ("BATCH", batch), ("LIMIT", limit), ("CROWD", crowd), ("TIMES", 1)):
+            monkeypatch.setattr(similar, name, value)
+        monkeypatch.setattr(similar, "apart", lambda *a: emitted.append(similar.cut(whole(*a))) or emitted[-1])
+        assert {r.doc_id: r.component_id for r in similar.near_duplicates(frame).collect()} == dict(enumerate(label))
+        assert emitted[-1].count() < 180 * 8  # far fewer than the family's 16,110 pairs
+
+
 def test_documents_that_share_a_long_template_stay(spark):
     """Pairs of similarity 0.57: links of fingerprints merged them through each other."""
     template = [f"t{i}" for i in range(220)]
