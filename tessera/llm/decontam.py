@@ -8,8 +8,8 @@ bounds, first by term and then by block of BLOCK items, can reach RETRIEVE. Ever
 word: of the question (all but the last sentences) and of the answer (the last sentences, a fifth of the words at
 least) OVERLAP must be found in the passage in order.
 
-The index is broadcast in parts of about PART_BYTES of items; documents are read once for each part, whose rarities
-are its own. Items of fewer than two words match nothing; null texts count as empty; repeated items count once; rows
+The index is broadcast whole if its items have at most PART_BYTES, else in parts of about that size, and documents are read
+once for each part. Counts, mean length and passages are those of the whole benchmark, so parts change no result. Items of fewer than two words match nothing; null texts count as empty; repeated items count once; rows
 with repeated or null ids are each judged.
 """
 
@@ -20,6 +20,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import cut, slices
 
 RETRIEVE, OVERLAP, BLOCK, PART_BYTES = 0.5, 0.8, 16, 8 << 20
 K1, B = 1.2, 0.75
@@ -48,30 +50,50 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts for w in p], answer
 
 
+def _items(items: list[tuple]) -> list[tuple]:
+    """Items of two words and more, repeated ones once, in order."""
+    seen: dict[tuple, None] = {}
+    for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+        if len(words(text)) > 1:
+            seen.setdefault((item_id, text))
+    return list(seen)
+
+
+class Statistics(NamedTuple):
+    """Of a whole benchmark: items, their words, the longest's words, and items by pair of words (joined by a space)."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
+def statistics_of(runs: list[list[str]]) -> Statistics:
+    return Statistics(len(runs), sum(map(len, runs)), max(map(len, runs), default=1), Counter(t for r in runs for t in {f"{a} {b}" for a, b in pairwise(r)}))
+
+
 class Index:
-    """Postings of all items: (item, impact) by item, impacts divided by the item's own score."""
-
-    def __init__(self, items: list[tuple]):
-        seen = {}
-        for item_id, text in items:
-            if len(words(text)) > 1:
-                seen.setdefault((item_id, text))
-        self.items = [(i, *question_and_answer(t)) for i, t in seen]
+    """Postings of the items: (item, impact) by item, impacts divided by the item's own score. whole: the statistics of all
+    items, if these are a part."""
+
+    def __init__(self, items: list[tuple], whole: Statistics | None = None):
+        self.items = [(i, *question_and_answer(t)) for i, t in _items(items)]
         runs = [q + a for _, q, a in self.items]
+        whole = whole or statistics_of(runs)
         self.vocabulary: dict[str, int] = {}
         for run in runs:
             for w in run:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         size = max(1, len(self.vocabulary))
-        pairs = [Counter(self.vocabulary[a] * size + self.vocabulary[b] for a, b in zip(r, r[1:], strict=False)) for r in runs]
-        df = Counter(t for p in pairs for t in p)
-        n, mean = len(runs), sum(map(len, runs)) / max(1, len(runs))
+        pairs = [Counter(self.vocabulary[a] * size + self.vocabulary[b] for a, b in pairwise(r)) for r in runs]
+        df = {self.vocabulary[a] * size + self.vocabulary[b]: whole.df[f"{a} {b}"] for r in runs for a, b in pairwise(r)}
+        n, mean = whole.n, whole.words / max(1, whole.n)
         self.terms = np.array(sorted(df), dtype=np.int64)
         place = {t: k for k, t in enumerate(self.terms.tolist())}
         postings: list[list[tuple[int, float]]] = [[] for _ in place]
         for d, own in enumerate(pairs):
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(runs[d]) / mean)) for t, f in own.items()}
-            total = sum(impact.values())
+            total = math.fsum(impact.values())
             for t, x in impact.items():
                 postings[place[t]].append((d, x / total))
         self.postings = postings
@@ -80,7 +102,7 @@ class Index:
         for k, p in enumerate(postings):
             for d, x in p:
                 self.blocks[k][d // BLOCK] = max(x, self.blocks[k].get(d // BLOCK, 0.0))
-        self.span = 2 * max(map(len, runs), default=1)
+        self.span = 2 * whole.longest
 
     def passages(self, run: list[str]) -> Iterator[tuple[int, int, list[int]]]:
         """(start, end, distinct terms) of each passage whose terms' largest impacts could reach the threshold."""
@@ -126,7 +148,7 @@ class Index:
                     after = min(after, cursors[pivot + 1][0])
                 self._advance(cursors, pivot, max(after, item + 1), end)
             elif cursors[0][0] == item:
-                score = sum(self.postings[t][at][1] for _, at, t in cursors[: pivot + 1])
+                score = math.fsum(self.postings[t][at][1] for _, at, t in cursors[: pivot + 1])
                 if score >= least:
                     out.append((item, score))
                 self._advance(cursors, pivot, item + 1, end)
@@ -165,12 +187,28 @@ class Index:
 
 
 def _parts(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Index]:
-    """The benchmark's index, in parts of bounded size."""
+    """The benchmark's index, in parts of bounded size with the statistics of the whole."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // PART_BYTES) or 1
+    if n == 1:
+        yield Index([(r.i, r.t) for r in items.collect()])
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "t"):
+                runs = [[w for part in question_and_answer(t) for w in part] for t in batch.column(1).to_pylist()]
+                pairs = [sorted({f"{a} {b}" for a, b in pairwise(r)}) for r in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(map(len, runs), pa.int64()), pa.array(pairs, pa.list_(pa.string())), batch.column(2)], names=["words", "pairs", "part"])
+
+    items = cut(items.distinct().withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("long")))
+    known = cut(items.select("i", "t", "part").mapInArrow(run, "words long, pairs array<string>, part long").where("words > 1"))
+    each = known.agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.max("words").alias("l")).first()
+    pairs = cut(known.select("part", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts")))
     for k in range(n):
-        yield Index(sorted(((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        df = {r.pair: r.df for r in pairs.where(F.array_contains("parts", k)).select("pair", "df").collect()}  # of one part's items
+        yield Index([(r.i, r.t) for r in items.where(F.col("part") == k).collect()], Statistics(each.n, each.w or 0, each.l or 1, df))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -41,9 +41,17 @@ def test_hits_and_edges(spark):
     assert got == sorted([(1, 1), (3, 3), (6, 5), (6, 5), (None, 7), (None, 8)], key=str)
     assert sorted(r.doc_id for r in decontam.clean(frame, items).collect()) == [2, 4, 5, 9, 10]
     assert decontam.matches(frame.limit(0), items).count() == 0 and decontam.matches(frame, items.limit(0)).count() == 0
-    old, decontam.PART_BYTES = decontam.PART_BYTES, 3_000
-    assert sorted(((r.doc_id, r.item_id) for r in decontam.matches(frame, items).collect()), key=str) == got
-    decontam.PART_BYTES = old
+
+
+def test_parts_change_no_row(spark, monkeypatch):
+    rows = [(i, " ".join(random.choices(VOCABULARY, k=300)) + " " + ITEMS[i][1] + " tail") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([*ITEMS, ITEMS[1], (70, None), (71, "one"), (72, ITEMS[2][1])], "item_id long, text string")
+    whole = sorted(decontam.matches(frame, items).collect())
+    assert len(whole) == 61
+    monkeypatch.setattr(decontam, "PART_BYTES", 6_000)
+    assert sorted(decontam.matches(frame, items).collect()) == whole
+    assert decontam.clean(frame, items).count() == 0
 
 
 def test_query(spark):
