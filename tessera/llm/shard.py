@@ -2,8 +2,8 @@
 
 The key is two longs (a hash of the text, then the row's id). The rows' bytes below candidate boundaries are counted
 exactly by partial aggregates: first for FIRST bits of the key, then, round by round, for STEP more bits below the
-candidates next to a wanted splitter that isn't met within the tolerance, and below any with more than 1 / CELLS of
-the rows. A boundary between different first keys is taken where the tolerance allows, so rows of equal text stay
+candidates next to a wanted splitter that isn't met within the tolerance, and below any with more rows than a
+cell has. A boundary between different first keys is taken where the tolerance allows, so rows of equal text stay
 together unless their group is too large. What reaches the driver is bounded by CELLS and STEP, whatever the input.
 
 Rows of equal keys take any order among themselves but each its own slot. A null weight counts as 0, a null key as the
@@ -12,7 +12,7 @@ smallest; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_name
 
 FIRST, STEP = 12, 8
-#: Rows are ranked in about so many cells, each sorted by one task.
-CELLS = 512
+#: Rows are ranked in cells, each sorted by one task: of CELL_ROWS rows, but so many cells at least and at most.
+CELL_ROWS, CELLS = 500_000, (512, 16_384)
 LOWEST = -(1 << 63)
 
 
@@ -44,7 +44,7 @@ def boundaries(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[tu
     """Lower keys of all cells but the first; each cell's shard; each cell's first slot. keyed: columns h, l, w."""
     total = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b")).first()
     targets = [total.b * k / shards for k in range(1, shards)]
-    slack, most = tolerance * total.b / shards, max(1, total.n // CELLS)
+    slack, most = tolerance * total.b / shards, max(1, total.n // min(CELLS[1], max(CELLS[0], total.n // CELL_ROWS)))
     # leaves: (smallest key, rows, bytes, bits, prefix), in key order
     leaves = [((LOWEST, LOWEST), total.n, total.b, 0, (0, 0))]
     while True:
@@ -81,7 +81,12 @@ def boundaries(keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[tu
                     after.setdefault(at[r.ua, r.ub], []).append((_value((r.a, r.b), down), r.n, r.s, down, (r.a, r.b)))
         leaves = [y for i, x in enumerate(leaves) for y in (sorted(after[i]) if i in after else [x])]
     edges.append(sums)
-    cuts = [min(range(max(0, bisect_left(edges, t) - 1), min(len(edges), bisect_left(edges, t) + 1)), key=lambda i: abs(edges[i] - t)) for t in targets]
+    between = [x[0][1] == LOWEST for x in leaves] + [True]  # not within the rows of one first key
+    cuts = []
+    for t in targets:
+        near = range(bisect_left(edges, t - slack), bisect_right(edges, t + slack))
+        near = [i for i in near if between[i]] or near or range(max(0, bisect_left(edges, t) - 1), min(len(edges), bisect_left(edges, t) + 1))
+        cuts.append(min(near, key=lambda i: abs(edges[i] - t)))
     starts, shard_of, slot_of = [], [], []
     shard = slot = rows = 0
     for i, leaf in enumerate(leaves):

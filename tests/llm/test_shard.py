@@ -45,3 +45,16 @@ def test_equal_texts_stay_together_where_tolerance_allows(spark):
     frame = spark.createDataFrame([(i, i % 400 * 48_271 * 77_777_777_777, 10) for i in range(4_000)], "id long, key long, size long")
     out = shard.histogram_sort(frame, ("key", "id"), "size", 8, tolerance=0.05).collect()
     assert all(v == 1 for v in Counter(k for k, _ in {(r.key, r.shard) for r in out}).values())
+
+
+def test_a_group_stays_whole_if_its_edge_is_within_tolerance(spark):
+    """A boundary inside the group would be nearer to the target than the group's edge, which is near enough."""
+    for hot in range(0, 3_000, 250):
+        keys = sorted((i * 2_654_435_761_777) % (1 << 62) for i in range(2_500))
+        key = keys[hot % 2_500] + 1
+        frame = spark.createDataFrame([(i, k, 10) for i, k in enumerate(keys)] + [(9_000 + i, key, 10) for i in range(500)], "id long, key long, size long")
+        out = shard.histogram_sort(frame, ("key", "id"), "size", 7, tolerance=0.6).collect()
+        check(out, 7, 0.6)
+        assert len({r.shard for r in out if r.key == key}) == 1
+        if hot >= 500:
+            break
