@@ -1,22 +1,23 @@
 """Secret scans over a ledger of content-addressed blobs, in DataFrame operations only.
 
 Every version of a text is addressed by the SHA-256 of its UTF-8. The ledger is a Parquet folder of (blob, rule,
-version, spans): which rules of which version have seen which blob, and what they found. A scan reads only blobs with
-rules or rule versions that the ledger lacks, each once however many paths hold it, appends to the ledger, and joins
-all findings back to all paths.
+version, spans), partitioned by rule and version: which have seen which blob, and what they found. A scan reads from it the
+blobs under the rules and versions asked for, scans only the blobs that one of them lacks, each once however many rows
+hold it, appends to the ledger, and joins all findings back to all paths.
 
 A rule's matches are leftmost and non-overlapping; those whose group is shorter than `least` are dropped after they
 have consumed their text. Positions are code points, ends exclusive. Null texts count as empty; repeated rows are
-each reported; an empty table gives an empty one. A third of all rows may hold one blob: the paths of blobs with
-findings are dealt out under SALTS keys.
+each reported; an empty table gives an empty one. A third of all rows may hold one blob: texts are combined by blob
+before they move, and the paths of blobs with findings are dealt out under SALTS keys.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, free_name, use_checkpoint_dir
@@ -25,6 +26,8 @@ from tessera.llm.common import cut, free_name, use_checkpoint_dir
 MARK = "\ufdd0"
 SALTS = 32
 CHUNK = 1024
+#: So many unseen blobs, counted before, are sent to every task.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -84,37 +87,41 @@ def scan(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text:
     ledger = ledger or f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
     body = docs.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"))
     versions = cut(body.select("path", blob_of(F.col("text")).alias("blob")))
-    wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    heads = versions.groupBy("blob").agg(F.min("path").alias("path"))
-    schema = "blob binary, rule string, version int, spans array<struct<start:bigint,end:bigint>>"
-    try:
-        known = spark.read.schema(schema).parquet(ledger)
-    except Exception as e:  # no ledger yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = None
-    if known is None:
-        todo = heads.withColumn("rules", F.array(*(F.lit(r.name) for r in rules)))
+    asked = F.broadcast(spark.createDataFrame([(r.name, r.version, i) for i, r in enumerate(rules)], "rule string, version int, kind int"))
+    schema = "blob binary, spans array<struct<start:bigint,end:bigint>>, rule string, version int"
+    of_rules = reduce(lambda a, b: a | b, ((F.col("rule") == r.name) & (F.col("version") == r.version) for r in rules))
+    todo = versions.select("blob").distinct()
+    if exists(spark, ledger):
+        known = spark.read.schema(schema).parquet(ledger).where(of_rules).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        lacking = F.array_except(F.array(*(F.lit(r.name) for r in rules)), F.coalesce("seen", F.array().cast("array<string>")))
+        todo = todo.join(known, "blob", "left").select("blob", lacking.alias("rules")).where("size(rules) > 0")
     else:
-        lacking = heads.withColumn("w", F.explode(wanted)).select("blob", "path", "w.*").join(known.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti")
-        todo = lacking.groupBy("blob", "path").agg(F.collect_set("rule").alias("rules"))
-    todo = todo.withColumnRenamed("path", "_path").withColumnRenamed("blob", "_blob").hint("shuffle_hash")
-    unseen = body.withColumn("blob", blob_of(F.col("text"))).join(todo, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")))
+        todo = todo.select("blob", F.array(*(F.lit(r.name) for r in rules)).alias("rules"))
+    todo = cut(todo)
+    # Each text once: combined within tasks, so that copies don't meet in one.
+    held = body.select(blob_of(F.col("text")).alias("blob"), "text")
+    if todo.count() <= FEW:  # then only unseen texts move
+        held = held.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+    unseen = held.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     entries = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("rules", r.name), spans(F.coalesce("text", F.lit("")), r)).alias("spans")) for r in rules))
     new = unseen.select("blob", F.explode(entries).alias("e")).select("blob", "e.*").where("spans is not null")
-    new.write.mode("append").parquet(ledger)
+    new.select("blob", "spans", "rule", "version").write.mode("append").partitionBy("rule", "version").parquet(ledger)
 
-    known = spark.read.schema(schema).parquet(ledger)
-    current = known.where("size(spans) > 0").join(F.broadcast(spark.createDataFrame([(r.name, r.version, i) for i, r in enumerate(rules)], "rule string, version int, kind int")), ["rule", "version"])
+    known = spark.read.schema(schema).parquet(ledger).where(of_rules)
+    current = known.where("size(spans) > 0").join(asked, ["rule", "version"])
     each = current.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("kind").alias("kind"), s["end"].alias("end"), F.col("rule").alias("rule"))).alias("own"))
-    # A path that repeats with one text gives its blob's entries twice; they are sets.
-    found = each.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("findings"))
+    found = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("findings"))
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = versions.withColumn("salt", F.pmod(F.xxhash64(F.col("path")), F.lit(SALTS)).cast("int"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,rule:string>>")
     return salted.join(spread, ["blob", "salt"], "left").select(F.col("path").alias(path), "blob", F.coalesce("findings", empty).alias("findings"))
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def redact(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every finding in text replaced by mark; overlapping findings by one. Rows without findings stay as
     they are, and every row stays."""
@@ -133,5 +140,7 @@ def redact(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", tex
         lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out")),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, (a["at"] + 1).cast("int"), F.char_length(body))),
     )
-    joined = docs.withColumn(blob, blob_of(body)).join(found, blob, "left")
+    salt = free_name(docs, "salt")
+    spread = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = docs.withColumn(blob, blob_of(body)).withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{path}`")), F.lit(SALTS)).cast("int")).join(spread, [blob, salt], "left")
     return joined.withColumn(text, F.when(F.col(findings).isNotNull(), cuts).otherwise(body)).select(*docs.columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, decontam, ledger, quality, quoting, shard, simhash, sitetree, topk, toxicity
-from tessera.llm.common import cut
+from tessera.llm.common import cut, use_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +54,11 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ledger.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    ledger.scan(docs.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0), folder)  # half the rows' blobs first
+    found = ledger.scan(docs, folder)  # all rows; only blobs that are new are scanned
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
     count = lambda rule: F.size(F.filter("findings", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
     base = [r.name for r in ledger.BASE]

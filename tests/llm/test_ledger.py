@@ -43,9 +43,15 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark, tmp_path):
     more = first.union(spark.createDataFrame([(1, "secret: newone1")], "doc_id long, text string"))
     assert sum(len(r.findings) for r in ledger.scan(more, folder).collect()) == 3
     assert spark.read.parquet(folder).count() == 3 * 3
+    again = more.union(more).union(spark.createDataFrame([(7, "new text"), (7, "new text"), (None, "new text")], "doc_id long, text string"))
+    assert ledger.scan(again, folder).count() == 11
+    assert spark.read.parquet(folder).count() == 4 * 3  # repeats are scanned once
     rules = (*ledger.BASE, ledger.Rule("x", "x+"))
     assert sum(len(r.findings) for r in ledger.scan(more, folder, rules=rules).collect()) == 4
-    assert spark.read.parquet(folder).count() == 3 * 4
+    assert spark.read.parquet(folder).where("rule = 'x'").count() == 3
+    rules = (*ledger.BASE[:2], ledger.Rule("hex", "f+", version=2))
+    assert sum(len(r.findings) for r in ledger.scan(more, folder, rules=rules).collect()) == 5  # the old version's findings are gone
+    assert spark.read.parquet(folder).where("rule = 'hex' and version = 2").count() == 3
 
 
 def test_redaction(spark):
