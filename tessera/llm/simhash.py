@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut, free_name, slices
 
 #: Most fingerprints of one trie node that a task joins at once, and most in one task's batch.
-LEAF, BATCH = 512, 20_000
+LEAF, BATCH = 2048, 20_000
 #: Fingerprints of more than 1 / HOT of all rows are salted with SALTS values.
 HOT, SALTS = 200, 32
 #: So many heads at most, counted before, are sent to every task.
 FEW = 20_000
+#: A graph of so many edges at most, counted before, is taken apart by one task.
+SMALL = 200_000
 #: Levels that a round of splitting goes down.
 STEP = 4
 
@@ -245,10 +247,21 @@ def _joined(pdf: pd.DataFrame, errors: int, partners: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"a": values[label[far]], "b": values[far]})
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype=np.int64), *batches], ignore_index=True)
+    values, place = np.unique(whole[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+    place = place.reshape(-1, 2)
+    label = forest(len(values), place[:, 0], place[:, 1])
+    far = np.flatnonzero(label != np.arange(len(values)))
+    yield pd.DataFrame({"node": values[far], "root": values[label[far]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each node of the edges (u, v, longs) the smallest node reachable. Alternates large and small
-    stars until the edges are stars already; each round is cut by a checkpoint."""
+    """(node, root): for each node of the edges (u, v, longs) the smallest node reachable, root excluded. Alternates large
+    and small stars until the edges are stars already; each round is cut by a checkpoint. Up to SMALL edges one task does it."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.count() <= SMALL:
+        return cut(edges.coalesce(1).mapInPandas(_stars, "node long, root long"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

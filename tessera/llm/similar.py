@@ -185,6 +185,10 @@ def _similar(shared: Column, a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the least similarity."""
+    pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    if pairs.count() <= FEW:  # then only their sets move
+        sets = sets.join(F.broadcast(asked), "fp", "left_semi")
     side = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"s{name}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     return both.where(_similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
@@ -210,11 +214,12 @@ def _units(batches: Iterator[pd.DataFrame], unit: str) -> Iterator[pd.DataFrame]
             yield whole
 
 
-def units(rooted: DataFrame) -> DataFrame:
+def units(rooted: DataFrame, counts: DataFrame) -> DataFrame:
     """(unit, side, fp, n, rest, root, counts) of sharers of several roots. Rows of side 0 are to be compared with each other,
-    those of side 1 with those of side 2; no unit has more than 2 BLOCK sets or so. rooted: sharing, fp, n, rest, root, counts."""
+    those of side 1 with those of side 2; no unit has more than 2 BLOCK sets or so. rooted: sharing, fp, n, rest, root; counts: fp,
+    counts."""
     per = rooted.groupBy("sharing").agg(F.count("*").alias("total"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sharing", "total")
-    left = cut(rooted.join(per, "sharing"))
+    left = cut(rooted.join(per, "sharing").join(counts, "fp"))
     columns = [F.col(c) for c in ("fp", "n", "rest", "root", "counts")]
     small = left.where(F.col("total") <= 2 * BLOCK).select(F.xxhash64("sharing").alias("unit"), F.lit(0).alias("side"), *columns)
     large = left.where(F.col("total") > 2 * BLOCK)
@@ -232,7 +237,7 @@ def units(rooted: DataFrame) -> DataFrame:
     return small.unionByName(dealt.select("u.unit", "u.side", *columns))
 
 
-def apart(rooted: DataFrame, partners: int = 0) -> DataFrame:
+def apart(rooted: DataFrame, counts: DataFrame, partners: int = 0) -> DataFrame:
     """Pairs (a, b) of different roots that may be similar by their sizes, their common shingle and their counts by byte.
     partners: of each set in a unit only the pairs with so many likeliest partners."""
     low, high = LEAST
@@ -266,7 +271,7 @@ def apart(rooted: DataFrame, partners: int = 0) -> DataFrame:
                         a, b = a[kept], b[kept]
                     yield pd.DataFrame({"a": np.minimum(fp[a], fp[b]), "b": np.maximum(fp[a], fp[b])})
 
-    dealt = units(rooted).repartition("unit").sortWithinPartitions("unit", "side")
+    dealt = units(rooted, counts).repartition("unit").sortWithinPartitions("unit", "side")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -322,11 +327,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = groups.join(top, "sharing").where("fp <> top.fp").where(_similar(F.col("top.n"), F.col("top.n"), F.col("n")))
     first = first.select(F.col("top.fp").alias("a"), F.col("fp").alias("b")).unionByName(near)
     edges = cut(verified(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
-    sharing = groups.join(sets.select("fp", "counts"), "fp")
     for partners in (LIKELY, 0):  # first what is likely, so that groups are whole when every pair is looked at
         roots = simhash.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rooted = sharing.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        edges = edges.unionByName(cut(verified(apart(rooted, partners), sets)))
+        rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        edges = edges.unionByName(cut(verified(apart(rooted, sets.select("fp", "counts"), partners), sets)))
     return simhash.named(prints.select(doc_id, "fp"), heads, edges, doc_id)
 
 

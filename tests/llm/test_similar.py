@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tessera.llm import similar
+from tessera.llm import simhash, similar
 
 
 def shingles(words):
@@ -56,6 +56,8 @@ def test_a_family_of_a_third_of_all_rows_in_small_blocks(spark, monkeypatch):
     for block, batch, limit, crowd in ((128, 20_000, 4096, 10_000), (8, 64, 16, 10_000), (8, 64, 16, 20)):
         for name, value in (("BLOCK", block), ("BATCH", batch), ("LIMIT", limit), ("CROWD", crowd), ("TIMES", 1)):
             monkeypatch.setattr(similar, name, value)
+        monkeypatch.setattr(simhash, "SMALL", 200_000 if block > 8 else 0)  # both ways to components
+        monkeypatch.setattr(similar, "FEW", 200_000 if block > 8 else 0)
         monkeypatch.setattr(similar, "apart", lambda *a: emitted.append(similar.cut(whole(*a))) or emitted[-1])
         assert {r.doc_id: r.component_id for r in similar.near_duplicates(frame).collect()} == dict(enumerate(label))
         assert emitted[-1].count() < 180 * 8  # far fewer than the family's 16,110 pairs
