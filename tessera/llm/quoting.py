@@ -10,14 +10,20 @@ message before it. n_linked counts passages that link, equal ones of one level o
 
 Result: one row per message row, with the columns conv_id, turn, role, text (own text, without quotes and blank lines
 at its ends), reply_to (turn; null for a first message), depth (replies up to the first message), n_quotes, n_linked,
-and order_key: within a conversation, messages sorted by it stand in reply order, each followed by all replies to it in
-order of turn. Null texts count as empty. Rows that repeat a (conv_id, turn) share one place; rows in which either is
-null stand alone (reply_to, depth and order_key null). A conversation may hold a third of all rows: its turns are dealt
-out in buckets, and reply order is a sort key, not a gathered list.
+and place: within a conversation, messages sorted by it (from 0) stand in reply order, each followed by all replies to it
+in order of turn. Null texts count as empty. Rows that repeat a (conv_id, turn) share one place; rows in which either is
+null stand alone (reply_to, depth and place null).
+
+A conversation may hold a third of all rows, so every order within one (of turns, of a passage's sources, of the replies to
+a turn) is made in buckets and over buckets. Depth and place come from a list of where each stretch of plain replies begins
+and ends in reply order: its members add up what follows them by pointer jumping, in as many rounds as the logarithm of its
+length, however deep the replies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +96,12 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     there = each.where("conv is not null and turn is not null").select("conv", F.col("turn").alias("source"), F.explode("pieces").alias("h")).join(wanted, ["conv", "h"], "left_semi")
     # The sources of one hash as a sorted list would be unbounded: the latest before each quoting turn comes from a range of turns in order.
     events = there.select("conv", "h", F.col("source").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("part")).union(asks.select("conv", "h", F.col("turn"), F.lit(0), "level", "passage", "part"))
-    before = Window.partitionBy("conv", "h").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    linked = events.withColumn("source", F.max(F.when(F.col("kind") == 1, F.col("at"))).over(before)).where("kind = 0")
+    events = events.withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    source = F.when(F.col("kind") == 1, F.col("at"))
+    before = Window.partitionBy("conv", "h", "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv", "h").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = events.groupBy("conv", "h", "bucket").agg(F.max(source).alias("last")).withColumn("last", F.max("last").over(earlier))
+    linked = events.withColumn("source", F.max(source).over(before)).where("kind = 0").join(carried, ["conv", "h", "bucket"]).withColumn("source", F.coalesce("source", "last"))
     linked = linked.where("source is not null").groupBy("conv", "at", "level", "passage").agg(F.min(F.struct("part", (-F.col("source")).alias("back"))).alias("best")).select("conv", "at", "level", (-F.col("best.back")).alias("source"))
     told = linked.groupBy("conv", F.col("at").alias("turn")).agg(F.max(F.when(F.col("level") == 1, F.col("source"))).alias("to"), F.count("source").alias("n_linked"))
 
@@ -113,22 +123,55 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     runs = jointed.withColumn("joint", F.last("joint", True).over(inside)).join(last, ["conv", "bucket"]).withColumn("joint", F.coalesce("joint", "carried"))
     runs = cut(runs.select("conv", "turn", "reply_to", "n_linked", F.col("joint.turn").alias("run"), (F.col("rank") - F.col("joint.rank")).alias("step")))
     heads = runs.where("step = 0").select("conv", F.col("run"), F.col("reply_to").alias("parent"))
-    place = runs.select("conv", F.col("turn").alias("parent"), F.col("run").alias("up"), F.col("step").alias("up_step"))
-    tree = heads.join(place, ["conv", "parent"], "left").select("conv", "run", "up", "up_step", "parent")
-    # path: (turn) of each message down to the run's head, kept as one number list per run; one round per level of runs.
-    known = tree.where("up is null").select("conv", "run", F.array().cast("array<struct<turn:bigint,run:bigint>>").alias("path"), F.lit(0).alias("base"))
-    done, level = known, known
-    waiting = tree.where("up is not null")
-    while not waiting.isEmpty():
-        level = cut(waiting.alias("w").join(level.alias("k"), (F.col("w.conv") == F.col("k.conv")) & (F.col("w.up") == F.col("k.run"))).select("w.conv", "w.run", F.concat("k.path", F.array(F.struct(F.col("w.parent").cast("long").alias("turn"), F.col("w.run").cast("long").alias("run")))).alias("path"), (F.col("k.base") + F.col("w.up_step") + 1).alias("base")))
-        done = done.unionByName(level)
-        waiting = cut(waiting.join(level.select("conv", "run"), ["conv", "run"], "left_anti"))
-        if level.isEmpty():
-            break
-    # Preorder. What goes straight on after a turn has the smallest turn of all that reply to it, so a run stands whole
-    # before its branches, and those off later turns come first.
-    key = F.concat(F.transform("path", lambda x: F.struct((-x["turn"]).alias("a"), x["run"].alias("b"))), F.array(F.struct(F.lit(None).cast("long").alias("a"), F.col("turn").cast("long").alias("b"))))
-    placed = runs.join(done, ["conv", "run"]).select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "reply_to", "n_linked", (F.col("base") + F.col("step")).cast("long").alias("depth"), key.alias("order_key"))
+    at = runs.select("conv", F.col("turn").alias("parent"), F.col("run").alias("up"), F.col("step").alias("up_step"))
+    size = runs.groupBy("conv", "run").agg(F.count("*").alias("size"))
+    tree = cut(heads.join(at, ["conv", "parent"], "left").join(size, ["conv", "run"]).select("conv", "run", "up", "up_step", "parent", "size"))
+    found = ranked(tree)
+    placed = runs.join(found, ["conv", "run"]).select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn"), "reply_to", "n_linked", (F.col("base") + F.col("step")).alias("depth"), (F.col("first") + F.col("step")).alias("place"))
     out = each.join(placed, F.col("conv").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
     n = F.coalesce("n_linked", F.lit(0).cast("long"))
-    return out.select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), F.col("role").alias(role), F.col("body").alias(text), "reply_to", "depth", F.size("quotes").cast("long").alias("n_quotes"), n.alias("n_linked"), "order_key")
+    return out.select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), F.col("role").alias(role), F.col("body").alias(text), "reply_to", "depth", F.size("quotes").cast("long").alias("n_quotes"), n.alias("n_linked"), "place")
+
+
+def following(rows: DataFrame, group: list[str], by: str, out: str) -> DataFrame:
+    """rows with the next larger value of by (a long, different within a group) in column out, in buckets and over buckets."""
+    cell = F.floor(F.col(by) / BUCKET)
+    inside = Window.partitionBy(*group, "cell").orderBy(by)
+    rows = rows.withColumn("cell", cell).withColumn(out, F.lead(by).over(inside))
+    cells = rows.groupBy(*group, "cell").agg(F.min(by).alias("least"))
+    cells = cells.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("cell").alias("_cell"), F.lead("least").over(Window.partitionBy(*group).orderBy("cell")).alias("later"))
+    same = reduce(lambda a, b: a & b, (F.col(g) == F.col(f"_{g}") for g in (*group, "cell")))
+    return rows.join(cells, same).select(*(c for c in rows.columns if c not in ("cell", out)), F.coalesce(out, "later").alias(out))
+
+
+def ranked(tree: DataFrame) -> DataFrame:
+    """(conv, run, first, base): the place and the depth of each run's first turn. tree: conv, run, up (its parent's run), up_step
+    (the parent's step there), parent (turn), size; one root a conversation.
+
+    A run stands whole before its branches: what goes straight on has the smallest turn of all replies to a turn. So those off
+    later turns come first, and of one turn the smallest."""
+    branches = tree.where("up is not null")
+    sisters = following(branches, ["conv", "parent"], "run", "next_same")
+    joints = branches.groupBy("conv", "up", "parent").agg(F.min("run").alias("eldest"), F.first("up_step").alias("up_step"))
+    joints = cut(following(joints.withColumn("back", -F.col("up_step").cast("long")), ["conv", "up"], "back", "next_back"))
+    eldest = joints.select("conv", "up", F.col("back").alias("next_back"), F.col("eldest").alias("next_joint"))
+    after = joints.select("conv", "up", "parent", "next_back").join(eldest, ["conv", "up", "next_back"], "left").select("conv", "parent", "next_joint")
+    sisters = sisters.join(after, ["conv", "parent"]).select("conv", "run", F.coalesce("next_same", "next_joint").alias("sister"))
+    child = joints.groupBy("conv", F.col("up").alias("run")).agg(F.min(F.struct("back", "eldest"))["eldest"].alias("child"))
+    runs = tree.join(sisters, ["conv", "run"], "left").join(child, ["conv", "run"], "left")
+    # Each run enters the list and leaves it: turn * 2 and turn * 2 + 1. weight: its turns; fall: levels down, then up again.
+    enter, leave = F.col("run") * 2, F.col("run") * 2 + 1
+    down = F.coalesce(F.col("up_step") + 1, F.lit(0)).cast("long")
+    ends = F.array(
+        F.struct(enter.alias("e"), F.coalesce(F.col("child") * 2, leave).alias("to"), F.col("size").alias("weight"), down.alias("fall")),
+        F.struct(leave.alias("e"), F.coalesce(F.col("sister") * 2, F.col("up") * 2 + 1).alias("to"), F.lit(0).cast("long").alias("weight"), (-down).alias("fall")),
+    )
+    links = cut(runs.select("conv", "run", F.explode(ends).alias("x")).select("conv", "x.*"))
+    longest = links.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(0, longest - 1).bit_length()):  # to: the first member not yet in the sums; null at the end
+        ahead = links.select("conv", F.col("e").alias("to"), F.col("to").alias("far"), F.col("weight").alias("w"), F.col("fall").alias("f"))
+        moved = links.where("to is not null").join(ahead, ["conv", "to"]).select("conv", "e", F.col("far").alias("to"), (F.col("weight") + F.col("w")).alias("weight"), (F.col("fall") + F.col("f")).alias("fall"))
+        links = cut(moved.unionByName(links.where("to is null")))
+    total = tree.groupBy("conv").agg(F.sum("size").alias("total"))
+    entered = tree.withColumn("e", enter).join(links.drop("to"), ["conv", "e"]).join(total, "conv")
+    return entered.select("conv", "run", (F.col("total") - F.col("weight")).alias("first"), (down - F.col("fall")).alias("base"))

@@ -28,8 +28,7 @@ def test_levels_links_and_order(spark):
 
 
 def order(spark, rows, conv):
-    first = lambda pair: (pair[0] is not None, pair[0] or 0, pair[1])
-    return [r.turn for r in sorted((r for r in rows if r.conv_id == conv), key=lambda r: [first((x.a, x.b)) for x in r.order_key])]
+    return [r.turn for r in sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.place)]
 
 
 def test_random_trees_in_preorder(spark):
@@ -40,19 +39,47 @@ def test_random_trees_in_preorder(spark):
         parents[t] = to
         rows.append((1, 100 * t, "u", f"words {t}" if to is None or to == t - 1 else f"> words {to}\nwords {t}"))
     old, quoting.BUCKET = quoting.BUCKET, 700
+    rows += [(2, t, "u", x) for _, t, _, x in rows[:30]]
     out = quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     quoting.BUCKET = old
-    assert {r.turn // 100: r.reply_to // 100 for r in out if r.reply_to is not None} == {t: p for t, p in parents.items() if p is not None}
+    assert {r.turn // 100: r.reply_to // 100 for r in out if r.conv_id == 1 and r.reply_to is not None} == {t: p for t, p in parents.items() if p is not None}
 
     def walk(t):
         return [t, *(x for c in range(60) if parents[c] == t for x in walk(c))]
 
     assert [t // 100 for t in order(spark, out, 1)] == walk(0)
+    assert sorted(r.place for r in out if r.conv_id == 1) == list(range(60))
+    depth = lambda t: 0 if parents[t] is None else 1 + depth(parents[t])
+    assert all(r.depth == depth(r.turn // 100) for r in out)
 
 
-def test_query_keeps_every_message(spark, sf_dir):
-    want = sorted((r.conv_id, r.turn, r.role) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect())
-    assert sorted((r.conv_id, r.turn, r.role) for r in queries.op8_quotation_linking(spark, sf_dir).collect()) == want
+def test_a_deep_chain_takes_few_jobs(spark):
+    """Each turn quotes the turn two before, so that replies are 1,000 deep and no stretch is longer than one."""
+    rows = [(1, t, "u", f"words {t}" if t < 2 else f"> words {t - 2}\nwords {t}") for t in range(2_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.sparkContext.setJobGroup("deep", "deep")
+    out = {r.turn: r for r in quoting.link(frame).collect()}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep")) < 150  # AQE runs a job for each exchange
+    assert all(out[t].reply_to == t - 2 and out[t].depth == out[t - 2].depth + 1 for t in range(2, 2_000))
+    assert [out[t].place for t in (0, 1, 3, 1_999, 2, 4)] == [0, 1, 2, 1_000, 1_001, 1_002]
+
+
+def test_one_passage_quoted_throughout_one_conversation(spark, monkeypatch):
+    monkeypatch.setattr(quoting, "BUCKET", 16)
+    rows = [(1, t, "u", f"> same words\nown {t}\n\nsame words" if t % 3 else "same words") for t in range(300)]
+    out = {r.turn: r for r in quoting.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(out[t].reply_to == t - 1 and out[t].n_linked == (t % 3 > 0) and out[t].place == t == out[t].depth for t in range(1, 300))
+
+
+def test_query(spark, sf_dir):
+    """No message of the tables quotes: each replies to the one before and keeps its text."""
+    want, before = [], {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        assert ">" not in r.text
+        want.append((r.conv_id, r.turn, r.role, r.text.rstrip(), before.get(r.conv_id), len([w for w in want if w[0] == r.conv_id])))
+        before[r.conv_id] = r.turn
+    got = sorted(((r.conv_id, r.turn, r.role, r.text.rstrip(), r.reply_to, r.place) for r in queries.op8_quotation_linking(spark, sf_dir).collect()), key=lambda x: x[:2])
+    assert got == want
 
 
 def test_own_passages_and_parts_of_quotes_link(spark):
