@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
@@ -19,6 +20,8 @@ from tessera.functions.scalar import squared_distance
 
 #: Rows of a side that one task of a blocked nearest-neighbour join holds.
 BLOCK = 8192
+#: Rows of either side in a task of the kernel matrix, whose pairs it holds.
+PAIRED = 1024
 #: Edges of a graph that one task takes.
 ONE_TASK = 500_000
 #: A side up to so many rows and bytes, counted before, may be sent to every task.
@@ -26,9 +29,12 @@ BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise InvalidStateError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -75,7 +81,7 @@ def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
 def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, query_id: str = "qid", point_id: str = "id", not_self: bool = False, algorithm: str | Callable = "blocked") -> DataFrame:
     """(query_id, point_id, distance, rank): the k nearest points of each query, ties to the smaller id. Exact.
 
-    algorithm: "blocked" deals both sides to blocks and joins block pairs in numpy; "brute" is a join with a rank; a callable
+    algorithm: "blocked" deals both sides to blocks and joins block pairs in numpy; "brute" is a cross join with a rank, for BROADCAST_ROWS points at most; a callable
     (queries, points, features, k, not_self), with ids named q and p and an array of features x and y, returns (q, p, d);
     "kd_tree" and "ball_tree" are the blocked one, whose results are the same. Ids are longs; not_self leaves out the point
     of the query's own id."""
@@ -89,8 +95,11 @@ def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k:
     if callable(algorithm):
         found = algorithm(q, p, features, k, not_self)
     elif algorithm == "brute":
+        if p.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            raise InvalidParametersError(f"brute force takes at most {BROADCAST_ROWS} points; use another algorithm")
         from tessera.functions.scalar import array_squared_distance
 
+        p = F.broadcast(p)
         pairs = q.join(p, F.col("q") != F.col("p")) if not_self else q.crossJoin(p)
         found = pairs.select("q", "p", F.sqrt(array_squared_distance(F.col("x"), F.col("y"))).alias("d"))
     else:
@@ -200,10 +209,21 @@ def kernel_matrix(a: DataFrame, b: DataFrame, features: Sequence[str], kernel: K
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["i"].to_numpy(), len(own_ids))), pa.array(np.tile(own_ids, len(part))), pa.array(k.ravel())], names=["i", "j", "k"])
 
         return left.mapInArrow(run, "i long, j long, k double")
-    n = range(len(features))
-    left = a.select(col(a_id).cast("long").alias("i"), *(col(c).cast("double").alias(f"a{k}") for k, c in enumerate(features)))
-    right = b.select(col(b_id).cast("long").alias("j"), *(col(c).cast("double").alias(f"b{k}") for k, c in enumerate(features)))
-    return left.crossJoin(right).select("i", "j", kernel.expr([f"a{k}" for k in n], [f"b{k}" for k in n]).alias("k"))
+    na, nb = (max(1, -(-f.count() // PAIRED)) for f in (a, b))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    side = lambda f, id, first: f.select(col(id).cast("long").alias("id"), as_array(f, features).alias("x"), F.lit(first).alias("first"))
+    left, right = side(a, a_id, True), side(b, b_id, False)
+    sides = left.select("*", deal(na).alias("ab"), every(nb).alias("bb")).unionByName(right.select("*", every(na).alias("ab"), deal(nb).alias("bb")))
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["first"]], pdf[~pdf["first"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "k": np.empty(0)})
+        k = kernel.matrix(np.stack(x["x"]), np.stack(y["x"]))
+        return pd.DataFrame({"i": np.repeat(x["id"].to_numpy(), len(y)), "j": np.tile(y["id"].to_numpy(), len(x)), "k": k.ravel()})
+
+    return sides.groupBy("ab", "bb").applyInPandas(group, "i long, j long, k double")
 
 
 def kernel_sums(queries: DataFrame, features: Sequence[str], kernel: Kernel, x: np.ndarray, weights: np.ndarray, name: str, intercept: bool = False) -> DataFrame:

@@ -271,3 +271,19 @@ def test_row_sums_have_no_limit_of_rows(spark):
     counts = np.bincount(np.r_[np.arange(n) % 7, 3])
     want = [float(counts @ np.exp(-((k - np.arange(7.0)) ** 2) / 2)) for k in range(7)]
     assert all(abs(r.s - want[r.id % 7]) < 1e-6 for r in got)
+
+
+def test_kernel_matrix_of_two_large_sides_is_dealt_to_blocks(spark, monkeypatch):
+
+    frame = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "id long, a double, b double")
+    want = sorted(joins.kernel_matrix(frame, frame, ["a", "b"], kernels.squared_exponential()).collect())
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(joins, "PAIRED", 16)
+    dealt = joins.kernel_matrix(frame, frame, ["a", "b"], kernels.squared_exponential())
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    got = sorted(dealt.collect())
+    assert len(got) == 3600 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(x.k - y.k) < 1e-12 for x, y in zip(got, want, strict=True))
+    with pytest.raises(errors.InvalidParametersError):
+        joins.knn_join(frame, frame, ["a", "b"], 2, "id", "id", algorithm="brute")
