@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder of spark.checkpoint.dir; a folder of our own serves only where that is unset."""
+    """Checkpoints go to the folder of spark.checkpoint.dir; a folder of our own serves only where that is unset and all
+    tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
