@@ -26,8 +26,6 @@ from tessera.llm.common import cut, free_name, use_checkpoint_dir
 MARK = "\ufdd0"
 SALTS = 32
 CHUNK = 1024
-#: So many unseen blobs, counted before, are sent to every task.
-FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -100,8 +98,6 @@ def scan(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text:
     todo = cut(todo)
     # Each text once: combined within tasks, so that copies don't meet in one.
     held = body.select(blob_of(F.col("text")).alias("blob"), "text")
-    if todo.count() <= FEW:  # then only unseen texts move
-        held = held.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
     unseen = held.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     entries = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("rules", r.name), spans(F.coalesce("text", F.lit("")), r)).alias("spans")) for r in rules))
     new = unseen.select("blob", F.explode(entries).alias("e")).select("blob", "e.*").where("spans is not null")
