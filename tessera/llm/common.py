@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +33,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written as a table to the shared folder, and the table's own folder, for discard once all that reads it is cut."""
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes the folder, and has the shuffles of plans that nothing holds any longer deleted as well."""
+    gc.collect()
+    spark._jvm.System.gc()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of the batch that hold at most most_bytes of the column's text, or one row."""
     if batch.num_rows <= 1 or batch.column(column).nbytes <= most_bytes:

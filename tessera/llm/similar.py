@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, discard, slices, stored
 
 #: The least similarity as a fraction, so that every comparison is of whole numbers.
 LEAST = (4, 5)
@@ -294,16 +294,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fp, component_id) for each row of docs with a doc_id; component_id is the smallest doc_id of its group."""
     asked = F.col(f"`{text}`")
     source = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`"), F.xxhash64(asked).alias("key"), asked.alias("_text"))
-    prints = cut(prefixes(source, words, doc_id))
-    groups = cut(sharers(prints))
-    heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n"), F.min("key").alias("key"), F.min("sim").alias("sim")))
+    # The wide tables live in the shared folder as long as they are read, and no longer: they are most of what this takes.
+    wide, tokens = stored(prefixes(source, words, doc_id))
+    prints = cut(wide.drop("tokens"))
+    groups = cut(sharers(wide))
+    discard(docs.sparkSession, tokens)
+    one = prints.groupBy("fp", doc_id, "key").agg(F.count("*").alias("rows"), F.min("sim").alias("sim"))
+    heads = one.groupBy("fp").agg(F.min(F.struct(F.col(f"`{doc_id}`").alias("id"), "key", "rows")).alias("h"), F.sum("rows").alias("n"), F.min("sim").alias("sim"))
+    heads = cut(heads.select("fp", F.col("h.id").alias("head"), "n", F.col("h.key").alias("key"), F.col("h.rows").alias("rows"), "sim"))
     sims = cut(heads.groupBy("sim").agg(F.min("fp").alias("fp")))
     equal = heads.join(sims.withColumnRenamed("fp", "a"), "sim").where("fp <> a").select("a", F.col("fp").alias("b"))
     of = lambda sim, name: sims.select(F.col("sim").alias(sim), F.col("fp").alias(name))
     near = simhash.links(sims.select(F.col("sim").alias("fp")), partners=PARTNERS).withColumnsRenamed({"a": "sa", "b": "sb"})
     near = cut(equal.unionByName(near.join(of("sa", "a"), "sa").join(of("sb", "b"), "sb").select("a", "b")))
     wanted = groups.select("fp").union(near.select("a")).union(near.select("b")).distinct()
-    wanted = cut(heads.join(wanted, "fp", "left_semi").select("key").distinct())
+    wanted = cut(heads.join(wanted, "fp", "left_semi").select(F.col("head").alias(doc_id), "key", "rows"))
     few = F.broadcast(wanted) if wanted.count() <= FEW else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +326,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         sets[fp] = found
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64())), pa.array(map(_counts, sets.values()), pa.binary())], names=["fp", "shingles", "counts"])
 
-    sets = source.join(few, "key", "left_semi").select("_text").mapInArrow(run, "fp long, shingles array<long>, counts binary")
-    sets = cut(sets.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")))
+    sets = source.join(few, [doc_id, "key"], "left_semi").select("_text").mapInArrow(run, "fp long, shingles array<long>, counts binary")
+    if not wanted.where("rows > 1").isEmpty():  # else each set comes from one row, and need not move
+        sets = sets.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+    sets, shingles = stored(sets)
     top = groups.groupBy("sharing").agg(F.min(F.struct("n", "fp")).alias("top"))
     first = groups.join(top, "sharing").where("fp <> top.fp").where(_similar(F.col("top.n"), F.col("top.n"), F.col("n")))
     first = first.select(F.col("top.fp").alias("a"), F.col("fp").alias("b")).unionByName(near)
@@ -331,6 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = simhash.components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         edges = edges.unionByName(cut(verified(apart(rooted, sets.select("fp", "counts"), partners), sets)))
+    discard(docs.sparkSession, shingles)
     return simhash.named(prints.select(doc_id, "fp"), heads, edges, doc_id)
 
 
