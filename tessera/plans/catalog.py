@@ -315,12 +315,66 @@ def glm_bernoulli_irls(spark, sf_dir):
     return _parameters(spark, regression.GeneralizedLinearRegression(regression.BERNOULLI).fit(_graded(spark, sf_dir), ["x"], "y"), 5)
 
 
+_RATED = "(SELECT 10 * l_discount AS y, 10 * l_tax AS x, 1 / l_quantity AS v FROM lineitem)"
+
+
+@query(
+    _irls(_RATED, "(y + 0.5) / 2", "1 / (1 + exp(-(b0 + b1 * x)))", "greatest(m * (1 - m) / v, 1e-5)", "ln(m / (1 - m)) + (y - m) / (m * (1 - m))", "e + (y - m) / (m * (1 - m))", 12)
+    .replace("SELECT x, y, (y + 0.5) / 2 AS m", "SELECT x, y, v, (y + 0.5) / 2 AS m")
+    .replace("SELECT k, x, y, b0", "SELECT k, x, y, v, b0")
+)
+def glm_binomial_irls(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((10 * F.col("l_discount")).alias("y"), (10 * F.col("l_tax")).alias("x"), (1 / F.col("l_quantity")).alias("v"))
+    return _parameters(spark, regression.GeneralizedLinearRegression(regression.binomial("v")).fit(df, ["x"], "y"), 5)
+
+
 @query(f"SELECT {q('regr_intercept(o_totalprice / 100000, o_custkey / 1000)', 5)} AS b0, {q('regr_slope(o_totalprice / 100000, o_custkey / 1000)', 5)} AS b1 FROM orders")
 def glm_normal(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100000).alias("y"), (F.col("o_custkey") / 1000).alias("x"))
     return _parameters(spark, regression.GeneralizedLinearRegression(regression.NORMAL).fit(df, ["x"], "y"), 5)
 
 
+# ---------------------------------------------------------------- optimisers
+
+
+def _bowl_sql(state: str, change: str, rounds: int) -> str:
+    """Rounds on (w - c)^2 for two means c of lineitem; state: the next one of w, s and g; change: of w, by s, t (the next s) and g."""
+    return f"""WITH RECURSIVE c(i, c) AS (SELECT 0, avg(l_quantity) / 50 FROM lineitem UNION ALL SELECT 1, avg(l_discount) * 10 FROM lineitem),
+it(k, i, c, w, s) AS (SELECT 0, i, c, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM c UNION ALL
+SELECT k + 1, i, c, w - ({change}), t FROM (SELECT *, {state} AS t FROM (SELECT *, 2 * (w - c) AS g FROM it WHERE k < {rounds})))
+SELECT CAST(i AS BIGINT) AS i, {q("w")} AS w FROM it WHERE k = {rounds}"""
+
+
+def _bowl(spark, sf_dir, method) -> DataFrame:
+    c = np.array(table(spark, sf_dir, "lineitem").agg(F.avg("l_quantity") / 50, F.avg("l_discount") * 10).first(), dtype=float)
+    w = method.minimise(lambda w: (float(((w - c) ** 2).sum()), 2 * (w - c)), np.zeros(2))
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i long, w double").select("i", r("w").alias("w"))
+
+
+@query(_bowl_sql("0.1 * s + 0.05 * g", "1.1 * t - 0.1 * s", 8))
+def opt_momentum(spark, sf_dir):
+    return _bowl(spark, sf_dir, optim.StochasticDescent(0.1, 0.05, 8))
+
+
+@query(_bowl_sql("s + g * g", "0.5 * g / (3 + sqrt(t))", 12))
+def opt_adagrad(spark, sf_dir):
+    return _bowl(spark, sf_dir, optim.AdaGrad(0.5, 3.0, 12))
+
+
+@query(_bowl_sql("0.9 * s + 0.1 * g * g", "0.01 * g / sqrt(t + 1e-5)", 10))
+def opt_rmsprop(spark, sf_dir):
+    return _bowl(spark, sf_dir, optim.RMSProp(0.01, 0.9, 1e-5, 10))
+
+
+@query(f"SELECT {q('regr_intercept(l_extendedprice / 100000, l_quantity / 50)', 5)} AS b0, {q('regr_slope(l_extendedprice / 100000, l_quantity / 50)', 5)} AS b1 FROM lineitem")
+def opt_conjugate_gradient(spark, sf_dir):
+    x, y = F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000
+    m = table(spark, sf_dir, "lineitem").agg(F.avg(x), F.avg(x * x), F.avg(y), F.avg(x * y)).first()
+    gram, right = np.array([[1.0, m[0]], [m[0], m[1]]]), np.array([m[2], m[3]])
+    b = optim.ConjugateGradient().minimise(lambda b: (float(b @ gram @ b / 2 - right @ b), gram @ b - right), np.zeros(2))
+    return spark.createDataFrame([tuple(map(float, b))], "b0 double, b1 double").select(r("b0", 5).alias("b0"), r("b1", 5).alias("b1"))
+
+
 # ---------------------------------------------------------------- clusters
 
 _D4 = ("x0", "x1", "x2", "x3")
@@ -331,6 +385,12 @@ def _points(spark, sf_dir, n: int = 4) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)))
 
 
+@query("SELECT " + ", ".join(f"{q(x)} AS {x}" for x in ("x0", "x1", "x2", "x3")) + f" FROM {_E4} ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':5')), vec_id LIMIT 4")
+def kmeans_init_forgy(spark, sf_dir):
+    centres = clustering.forgy(_points(spark, sf_dir), list(_D4), 4, "vec_id", 5)
+    return spark.createDataFrame([tuple(map(float, c)) for c in centres], ", ".join(f"{x} double" for x in _D4)).select(*(r(x).alias(x) for x in _D4))
+
+
 _CENTRES = np.array([[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, -0.1, 0.1], [0.0, 0.0, 0.0, -0.1]])
 
 
@@ -556,7 +616,19 @@ def svm_train(spark, sf_dir):
     return kernel_models.SVM().fit(df, ["x", "y"], "t").transform(df).select("id", "t", "prediction")
 
 
-@query()
+def _gp_sql() -> str:
+    """Solves (K + 10 I) a = b by rounds a + (b - (K + 10 I) a) / 15: the eigenvalues lie between 10 and 20, so an error falls to a third."""
+    k = lambda x, y: f"exp(-({x} - {y}) * ({x} - {y}) / 2)"
+    return f"""WITH RECURSIVE p(i, y) AS (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 3), (7, 2), (8, 1), (9, 0)),
+t(id, x) AS (VALUES (0, CAST(2.3 AS DOUBLE)), (1, 4.4), (2, 5.1), (3, 6.2), (4, 7.1)),
+b(id, i, b) AS (SELECT -1, i, CAST(y AS DOUBLE) FROM p UNION ALL SELECT id, i, {k("x", "i")} FROM t, p),
+it(k, id, i, b, a) AS (SELECT 0, id, i, b, CAST(0 AS DOUBLE) FROM b UNION ALL
+SELECT u.k + 1, u.id, u.i, any_value(u.b), any_value(u.a) + (any_value(u.b) - 10 * any_value(u.a) - sum({k("u.i", "v.i")} * v.a)) / 15 FROM it u JOIN it v ON u.id = v.id WHERE u.k < 30 GROUP BY u.k, u.id, u.i),
+s AS (SELECT * FROM it WHERE k = 30)
+SELECT CAST(t.id AS BIGINT) AS id, t.x, {q("sum(o.b * m.a)")} AS mean, {q("1 - sum(o.b * o.a)")} AS variance FROM t JOIN s o ON o.id = t.id JOIN s m ON m.id = -1 AND m.i = o.i GROUP BY t.id, t.x"""
+
+
+@query(_gp_sql())
 def gp_predict_small(spark, sf_dir):
     df = datasets.from_rows(spark, zip(range(10), [0, 1, 2, 3, 4, 4, 3, 2, 1, 0], strict=True), ("x", "y"))
     asked = datasets.from_rows(spark, [(2.3,), (4.4,), (5.1,), (6.2,), (7.1,)], ("x",))
@@ -602,7 +674,7 @@ def nnet_forward(spark, sf_dir):
     return model.transform(df).select("event_id", r(F.col("prediction")[0]).alias("out"))
 
 
-@query()
+@query("SELECT CAST(2 * a + b AS BIGINT) AS id, CAST(a AS BIGINT) AS x0, CAST(b AS BIGINT) AS x1, a = 1 AND b = 1 AS prediction FROM range(2) s(a), range(2) t(b)")
 def nnet_train(spark, sf_dir):
     d = datasets.and_gate(spark, 1000, seed=1)
     model = neural.mlp([2, 1], algorithm=optim.StochasticDescent(0.1, 0.5, 10)).fit(d.frame, d.features, d.label)
