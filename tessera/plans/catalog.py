@@ -488,6 +488,23 @@ def gmm_em_step(spark, sf_dir):
     return spark.createDataFrame(rows, "k long, w double, m0 double, m1 double, s0 double, s1 double").select("k", r("w").alias("w"), r("m0").alias("m0"), r("m1").alias("m1"), r("s0", 8).alias("s0"), r("s1", 8).alias("s1"))
 
 
+#: Densities without the constant of 2 pi, as the model defines its log-likelihood.
+_FULL = f"""WITH d AS (SELECT x0, x1 FROM {_E4}), c AS (SELECT var_samp(x0) + 0.01 AS a, covar_samp(x0, x1) AS b, var_samp(x1) + 0.01 AS d FROM d),
+f AS (SELECT x0, x1, {", ".join(f"exp(-(d * (x0 - {m}) * (x0 - {m}) - 2 * b * (x0 - {m}) * (x1 - {m}) + a * (x1 - {m}) * (x1 - {m})) / (2 * (a * d - b * b))) / (2 * sqrt(a * d - b * b)) AS f{k}" for k, m in enumerate(("0.05", "(-0.05)")))} FROM d, c),
+g AS ({" UNION ALL ".join(f"SELECT {k} AS k, f{k} / (f0 + f1) AS r, ln(f0 + f1) AS ll, x0, x1 FROM f" for k in range(2))}),
+m AS (SELECT k, sum(r) AS n, sum(r) / count(*) AS w, sum(ll) AS ll, sum(r * x0) / sum(r) AS m0, sum(r * x1) / sum(r) AS m1 FROM g GROUP BY k)"""
+
+
+@query(f"""{_FULL} SELECT CAST(k AS BIGINT) AS k, {q("any_value(w)")} AS w, {q("(sum(r * (x0 - m0) * (x0 - m0)) + 0.01) / any_value(n)", 8)} AS s00, {q("sum(r * (x0 - m0) * (x1 - m1)) / any_value(n)", 8)} AS s01,
+{q("(sum(r * (x1 - m1) * (x1 - m1)) + 0.01) / any_value(n)", 8)} AS s11, {q("any_value(m.ll)", 4)} AS log_likelihood FROM g JOIN m USING (k) GROUP BY k""")
+def gmm_regularized_step(spark, sf_dir):
+    df, em = _points(spark, sf_dir, 2), clustering.GaussianMixture(2, covariance="regularized", epsilon=0.01, means=_mixture().means)
+    m = em.step(df, em.start(df, ["x0", "x1"], "vec_id"))
+    rows = [(k, float(m.weights[k]), *(float(m.covariances[k][i][j]) for i, j in ((0, 0), (0, 1), (1, 1))), float(m.log_likelihood)) for k in range(2)]
+    out = spark.createDataFrame(rows, "k long, w double, s00 double, s01 double, s11 double, log_likelihood double")
+    return out.select("k", r("w").alias("w"), *(r(c, 8).alias(c) for c in ("s00", "s01", "s11")), r("log_likelihood", 4).alias("log_likelihood"))
+
+
 @query(f"{_MIX} SELECT vec_id, {q('r0')} AS r0, {q('r1')} AS r1 FROM g")
 def gmm_responsibilities(spark, sf_dir):
     df = _points(spark, sf_dir, 2)
@@ -674,7 +691,7 @@ def nnet_forward(spark, sf_dir):
     return model.transform(df).select("event_id", r(F.col("prediction")[0]).alias("out"))
 
 
-@query("SELECT CAST(2 * a + b AS BIGINT) AS id, CAST(a AS BIGINT) AS x0, CAST(b AS BIGINT) AS x1, a = 1 AND b = 1 AS prediction FROM range(2) s(a), range(2) t(b)")
+@query("SELECT CAST(2 * a + b AS BIGINT) AS id, CAST(a AS DOUBLE) AS x0, CAST(b AS DOUBLE) AS x1, a = 1 AND b = 1 AS prediction FROM range(2) s(a), range(2) t(b)")
 def nnet_train(spark, sf_dir):
     d = datasets.and_gate(spark, 1000, seed=1)
     model = neural.mlp([2, 1], algorithm=optim.StochasticDescent(0.1, 0.5, 10)).fit(d.frame, d.features, d.label)
