@@ -70,3 +70,15 @@ def test_documents_that_share_a_long_template_stay(spark):
     frame = spark.createDataFrame([*rows, (900, rows[0][1].upper()), (901, rows[0][1] + " end"), (902, None), (903, ""), (None, rows[0][1])], "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, frame, "").collect() if r.doc_id is not None)
     assert kept == [*range(150), 902]
+
+
+def test_repeated_rows_and_ids_and_no_table_stays(spark):
+    """Rows that repeat both id and text; the wide tables are gone afterwards."""
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, " ".join(base))] * 3 + [(2, near)] * 2 + [(3, other), (6, other), (4, None), (4, None), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.component_id) for r in similar.near_duplicates(frame).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (6, 3), (4, 4), (5, 4)}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() + "/table-*")
+    assert not len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder))
