@@ -23,11 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, free_name, slices
+from tessera.llm.common import cut, slices
 
 #: Most fingerprints of one trie node that a task joins at once, and most in one task's batch.
 LEAF, BATCH = 2048, 20_000
@@ -278,42 +278,52 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id of its group."""
-    prints = cut(fingerprints(docs, text, (doc_id,), "fp", words))
-    heads = cut(prints.groupBy("fp").agg(F.min(doc_id).alias("head"), F.count("*").alias("n")))
-    return named(prints, heads, links(heads.select("fp"), errors), doc_id)
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns of keep, fp, component_id, root) for each row of docs; component_id is the smallest doc_id of the
+    row's group, root the group's smallest fingerprint. An id of several texts joins no groups: each row is in its text's."""
+    prints = cut(fingerprints(docs, text, (doc_id, *keep), "fp", words))
+    heads = cut(prints.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("head"), F.count("*").alias("n")))
+    return named(prints, heads, links(heads.where("head is not null").select("fp"), errors), doc_id)
 
 
 def named(prints: DataFrame, heads: DataFrame, pairs: DataFrame, doc_id: str) -> DataFrame:
-    """(doc_id, fp, component_id) of prints. heads: each fp's smallest doc_id (head) and rows (n); pairs: links (a, b) of fps."""
-    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), heads.select(F.col("fp").alias("b"), F.col("head").alias("v"))
-    roots = components(pairs.join(left, "a").join(right, "b").select("u", "v").where("u is not null and v is not null"))
-    known = heads.join(roots, heads["head"] == roots["node"], "left").select("fp", F.coalesce("root", "head").alias("component_id"))
-    # A fingerprint of more than 1 / HOT of the rows (at most HOT such) is dealt out under SALTS keys.
-    hot = [r.fp for r in heads.where(F.col("n") > F.lit(max(1, prints.count() // HOT))).select("fp").collect()]
-    salted = prints.withColumn("_salt", F.when(F.col("fp").isin(hot), F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")).otherwise(0))
-    spread = known.withColumn("_salt", F.explode(F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread, ["fp", "_salt"], "left").select(doc_id, "fp", F.when(F.col(doc_id).isNotNull(), F.col("component_id")).alias("component_id"))
+    """prints with (component_id, root). heads: each fp's smallest doc_id (head) and rows (n); pairs: links (a, b) of fps."""
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), "root")
+    rooted = cut(heads.join(roots, "fp", "left").select("fp", "head", "n", F.coalesce("root", "fp").alias("root")))
+    lows = cut(rooted.groupBy("root").agg(F.min("head").alias("component_id"), F.count("*").alias("size")))
+    known = _salted_join(rooted, lows, "root", "size", "fp").select("fp", "component_id", "root", "n")
+    found = _salted_join(prints, known, "fp", "n", f"`{doc_id}`")
+    return found.select(*(F.col(f"`{c}`") for c in prints.columns), F.when(F.col(f"`{doc_id}`").isNotNull(), F.col("component_id")).alias("component_id"), "root")
+
+
+def _salted_join(rows: DataFrame, known: DataFrame, key: str, size: str, by: str) -> DataFrame:
+    """rows joined to the one row of known of their key. Keys whose size is over 1 / HOT of all rows (at most HOT such) are
+    dealt out under SALTS keys."""
+    most = F.lit(max(1, rows.count() // HOT))
+    hot = [r[0] for r in known.where(F.col(size) > most).select(key).collect()]
+    salted = rows.withColumn("_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = known.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread.drop(*({*rows.columns} & {*known.columns} - {key})), [key, "_salt"]).drop("_salt")
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, errors: int = 3) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id. Rows with a null doc_id stay.
 
-    Of rows that share the kept doc_id, the one with the smallest hash of its text stays."""
-    return firsts(docs, near_duplicates(docs, doc_id, text, words, errors), doc_id, text)
+    Of rows that share the kept doc_id within a group, the one with the smallest hash of its text stays, and of rows equal in
+    both the one with the smallest hash of all columns."""
+    keyed = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.xxhash64(f"`{text}`").alias("key"))
+    return firsts(docs, near_duplicates(keyed, doc_id, text, words, errors, ("key",)), doc_id, text)
 
 
 def firsts(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of docs that distinct keeps, by (doc_id, component_id)."""
-    groups = cut(groups)
-    kept = groups.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct().hint("shuffle_hash")
-    out = docs.join(kept, F.col(f"`{doc_id}`") == F.col("_kept"), "left_semi")
-    repeated = cut(groups.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(F.col(doc_id).alias("_kept")))
+    """The rows of docs that distinct keeps, by (doc_id, key, component_id, root); key: XXH64 of the text."""
+    heads = groups.where(F.col(f"`{doc_id}`") == F.col("component_id")).groupBy(F.col(f"`{doc_id}`").alias("_kept"), "root")
+    kept = cut(heads.agg(F.min("key").alias("_key"), F.count("*").alias("rows")))
+    same = (F.col(f"`{doc_id}`") == F.col("_kept")) & (F.xxhash64(f"`{text}`") == F.col("_key"))
+    out = docs.join(kept.select("_kept", "_key").hint("shuffle_hash"), same, "left_semi")
+    repeated = kept.where("rows > 1").select("_kept", "_key")
     if not repeated.isEmpty():
-        twice = F.col(f"`{doc_id}`") == F.col("_kept")
-        rank = free_name(docs, "rank")
-        first = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(F.xxhash64(f"`{text}`")))
-        ranked = out.join(repeated, twice, "left_semi").withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
-        out = out.join(repeated, twice, "left_anti").unionByName(ranked)
+        whole, by = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+        one = out.join(repeated, same, "left_semi").groupBy(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(f"`{text}`").alias("_key")).agg(F.min_by(whole, by).alias("_row"))
+        out = out.join(repeated, same, "left_anti").unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
     return out.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -291,7 +291,7 @@ def _counts(found: np.ndarray) -> bytes:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs with a doc_id; component_id is the smallest doc_id of its group."""
+    """(doc_id, key, fp, component_id, root) for each row of docs with a doc_id, as simhash.near_duplicates; key: XXH64 of the text."""
     asked = F.col(f"`{text}`")
     source = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`"), F.xxhash64(asked).alias("key"), asked.alias("_text"))
     # The wide tables live in the shared folder as long as they are read, and no longer: they are most of what this takes.
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         edges = edges.unionByName(cut(verified(apart(rooted, sets.select("fp", "counts"), partners), sets)))
     discard(docs.sparkSession, shingles)
-    return simhash.named(prints.select(doc_id, "fp"), heads, edges, doc_id)
+    return simhash.named(prints.select(doc_id, "key", "fp"), heads, edges, doc_id)
 
 
 def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:

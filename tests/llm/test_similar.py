@@ -82,3 +82,14 @@ def test_repeated_rows_and_ids_and_no_table_stays(spark):
     assert found == {(1, 1), (2, 1), (3, 3), (6, 3), (4, 4), (5, 4)}
     folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir() + "/table-*")
     assert not len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder))
+
+
+def test_an_id_of_several_texts_merges_no_groups(spark):
+    """Id 1 holds two unlike texts and a near copy of one; each group keeps one row of its own."""
+    one, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "wvu")
+    rows = [(1, one, "a"), (1, other, "b"), (1, one + " end", "c"), (2, one, "d"), (3, other + " end", "e"), (4, third, "f"), (4, third, "g"), (None, one, "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, rows string").repartition(3)
+    assert {(r.doc_id, r.component_id) for r in similar.near_duplicates(frame).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    for kept in (similar.distinct(frame).collect(), simhash.distinct(frame, words=1).collect()):
+        assert sum(r.text.startswith("w0") for r in kept if r.doc_id) == 1 == sum(r.text == third for r in kept)
+        assert sum(r.text.startswith("v0") for r in kept) == 1 and len(kept) == 4
