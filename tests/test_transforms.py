@@ -105,6 +105,13 @@ def test_samples(spark):
         sampling.reservoir(spark.range(3), 7, "id")
     df = spark.createDataFrame([(0, 0.0), (1, 2.0), (2, 6.0)], "id long, w double")
     assert sampling.draw_by_prefix(df, "w", "id", 0.1).first().id == 1 and sampling.draw_by_prefix(df, "w", "id", 0.9).first().id == 2
+    assert sampling.draw_by_prefix(df, "w", "id", 1.0).count() == 0 == sampling.draw_by_prefix(df.limit(0), "w", "id", 0.5).count()
+    many = spark.range(400).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") * 37) % 11).alias("_run")).repartition(5)
+    weights = {r.id: r._run or 0 for r in many.collect()}
+    for at in (0.0, 0.31, 0.77, 0.999):
+        total, running = sum(weights.values()), 0
+        wanted = next(i for i in range(400) if (running := running + weights[i]) > at * total)
+        assert [r.id for r in sampling.draw_by_prefix(many, "_run", "id", at).collect()] == [wanted]
     assert {sampling.weighted_draw(df, "w", 1, s).first().id for s in range(8)} <= {1, 2}
 
 
