@@ -2,7 +2,7 @@
 
 Long texts are split before encoding at places where the pre-tokenizer's matches end whatever follows: between a
 character that isn't white space and white space. A segment (white space, then other characters) is therefore encoded
-on its own with the same ids, and frequent segments are encoded once per worker. Runs of white space beyond
+on its own with the same ids, and frequent segments are encoded once per task. Runs of white space beyond
 LONG_RUN overflow the library's regex stack; such a run is one match but for its last character, so it is encoded as
 one piece.
 
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import frugal, slices
 
 #: Unicode's White_Space, the pre-tokenizer's \s.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LONG_RUN = 1000
-#: A worker remembers so many segments of so many characters at most; when that is full, the older half goes.
-MEMO, MEMO_CHARS = 400_000, 64
+#: A task remembers so many segments of so many characters at most; when that is full, the older half goes.
+MEMO, MEMO_CHARS = 100_000, 64
 
 _SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _BEFORE = re.compile(f"[{SPACE}] ")
@@ -44,6 +44,9 @@ class Codec:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.splitlines()))}
         self._library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.forget()
+
+    def forget(self) -> None:
         self._memo, self._old, self._tails, self._old_tails = {}, {}, {}, {}
 
     def _ids(self, segment: str) -> bytes:
@@ -121,8 +124,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
                 if decoded:
                     columns.append(pa.array([own.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*rest, *schema.names[len(rest) :]])
+        own.forget()  # the codec stays with the worker
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

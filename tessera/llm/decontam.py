@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, frugal, slices
 
 RETRIEVE, OVERLAP, BLOCK, PART_BYTES = 0.5, 0.8, 16, 8 << 20
 K1, B = 1.2, 0.75
@@ -233,7 +233,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                     if at:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(rows[item_id]), *(pa.array(rows[c], pa.float64()) for c in schema.names[2:])], names=schema.names)
 
-        found = source.mapInArrow(run, schema)
+        found = source.mapInArrow(frugal(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -249,5 +249,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
                 for batch in slices(whole, text):
                     yield batch.filter(pa.array([not own.hits(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs

@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import frugal, slices
 from tessera.llm.toxicity import sample
 
 BITS, DIMS, SEEDS = 14, 32, 4
 MOST_ROWS, HIDDEN, EPOCHS = 20_000, 32, 60
+#: Words whose rows a task remembers.
+MEMO = 50_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -47,7 +49,7 @@ def tokens(text: str | None) -> tuple[Counter, list[str]]:
 
 
 def _rows(found, memo: dict) -> np.ndarray:
-    if len(memo) > 400_000:
+    if len(memo) > MEMO:
         memo.clear()
     at = []
     for w in found:
@@ -81,7 +83,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
         at = np.flatnonzero(sums[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, i]) for i in range(DIMS + 1))], names=names)
 
-    parts = source.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    parts = source.mapInArrow(frugal(run), ", ".join(f"{c} long" for c in names))
     found = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in names[1:])).toPandas()  # 1 << BITS rows at most
     sums, n = np.zeros((1 << BITS, DIMS)), np.zeros(1 << BITS)
     at = found["row"].to_numpy(np.int64)
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
             seeds = [zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in out], pa.list_(pa.float64())), batch.column(1), pa.array(seeds, pa.int64())], names=["x", "y", "seed"])
 
-    data = rows.mapInArrow(run, "x array<double>, y int, seed long").toPandas().sort_values(["seed", "y"], kind="stable")
+    data = rows.mapInArrow(frugal(run), "x array<double>, y int, seed long").toPandas().sort_values(["seed", "y"], kind="stable")
     x = np.array(data["x"].tolist(), dtype=np.float64).reshape(len(data), 3 * DIMS)
     return {"vectors": vectors.astype(np.float32), "rarity": rarity.astype(np.float32)} | fit(x, data["y"].to_numpy(np.float64))
 
@@ -182,4 +184,4 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                     out = 1 / (1 + np.exp(-np.clip(_logits(z, m) / m["heat"], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(out, pa.float64())], names=[*columns, name])
 
-    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in columns), T.StructField(name, T.DoubleType(), False)]))
+    return source.mapInArrow(frugal(run), T.StructType([*(source.schema[c] for c in columns), T.StructField(name, T.DoubleType(), False)]))

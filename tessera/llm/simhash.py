@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, frugal, slices
 
 #: Most fingerprints of one trie node that a task joins at once, and most in one task's batch.
 LEAF, BATCH = 2048, 20_000
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                 out = pa.array(np.array([fingerprint(t, words) for t in batch.column("_text").to_pylist()], dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, name])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def join_tries(prints: np.ndarray, first: np.ndarray, second: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ def links(prints: DataFrame, errors: int = 3, leaf: int = LEAF, partners: int =
             yield _joined(pd.concat(held, ignore_index=True), errors, partners)
 
     dealt = units.repartition("unit").sortWithinPartitions("unit", "side", F.col("t") < 0, "t")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(frugal(run), "a long, b long").distinct()
 
 
 def _joined(pdf: pd.DataFrame, errors: int, partners: int = 0) -> pd.DataFrame:
@@ -261,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
     and small stars until the edges are stars already; each round is cut by a checkpoint. Up to SMALL edges one task does it."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     if edges.count() <= SMALL:
-        return cut(edges.coalesce(1).mapInPandas(_stars, "node long, root long"))
+        return cut(edges.coalesce(1).mapInPandas(frugal(_stars), "node long, root long"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import cut, discard, slices, stored
+from tessera.llm.common import cut, discard, frugal, slices, stored
 
 #: The least similarity as a fraction, so that every comparison is of whole numbers.
 LEAST = (4, 5)
@@ -80,7 +80,7 @@ def counts(source: DataFrame, words: int) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
 
-    found = source.select("_text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 1 << BITS rows at most
+    found = source.select("_text").mapInArrow(frugal(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 1 << BITS rows at most
     out = np.zeros(1 << BITS, np.int64)
     out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -127,7 +127,7 @@ def prefixes(source: DataFrame, words: int, doc_id: str) -> DataFrame:
 
     kind = source.schema[doc_id].dataType
     rest = T._parse_datatype_string("key long, fp long, n int, sim long, tokens array<struct<token: long, rest: int, salt: tinyint>>")
-    return source.select(doc_id, "key", "_text").mapInArrow(run, T.StructType([T.StructField(doc_id, kind), *rest]))
+    return source.select(doc_id, "key", "_text").mapInArrow(frugal(run), T.StructType([T.StructField(doc_id, kind), *rest]))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -174,7 +174,7 @@ def sharers(prints: DataFrame) -> DataFrame:
         if rows:
             yield emit(pd.concat(held, ignore_index=True), long)
 
-    found = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "fp").mapInPandas(run, "sharing long, fp long, n int, rest int")
+    found = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "fp").mapInPandas(frugal(run), "sharing long, fp long, n int, rest int")
     return found.groupBy("sharing", "fp", "n").agg(F.max("rest").alias("rest"))
 
 
@@ -272,7 +272,7 @@ def apart(rooted: DataFrame, counts: DataFrame, partners: int = 0) -> DataFrame:
                     yield pd.DataFrame({"a": np.minimum(fp[a], fp[b]), "b": np.maximum(fp[a], fp[b])})
 
     dealt = units(rooted, counts).repartition("unit").sortWithinPartitions("unit", "side")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(frugal(run), "a long, b long").distinct()
 
 
 def _first(key: np.ndarray, by: np.ndarray, k: int) -> np.ndarray:
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         sets[fp] = found
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64())), pa.array(map(_counts, sets.values()), pa.binary())], names=["fp", "shingles", "counts"])
 
-    sets = source.join(few, [doc_id, "key"], "left_semi").select("_text").mapInArrow(run, "fp long, shingles array<long>, counts binary")
+    sets = source.join(few, [doc_id, "key"], "left_semi").select("_text").mapInArrow(frugal(run), "fp long, shingles array<long>, counts binary")
     if not wanted.where("rows > 1").isEmpty():  # else each set comes from one row, and need not move
         sets = sets.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
     sets, shingles = stored(sets)

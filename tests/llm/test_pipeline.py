@@ -1,7 +1,10 @@
+import re
+
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline
-from tessera.llm import bpe, decontam, queries
+from tessera.llm import bpe, decontam, quality, queries, similar
 
 DIR = "/root/testdata/sf0.001"
 
@@ -36,3 +39,27 @@ def test_empty_and_odd_rows(spark):
 def test_run_is_registered(spark):
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, DIR).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_ended_tasks_leave_no_memory_taken(spark, monkeypatch):
+    """Workers are kept for the stages to come, and share an executor's memory with its JVM."""
+    frame = spark.createDataFrame([(1, 1, "a b c")], "doc_id long, key long, _text string")
+    ran, kind = [], type(frame)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: ran.append((self.columns, f)) or real(self, f, *a, **b))
+    quality.word_vectors(frame, "_text")
+    similar.prefixes(frame, 5, "doc_id")
+    bpe.encode(frame, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "_text")
+    assert len(ran) == 4
+    anonymous = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+    taken = []
+    for rows in (10, 5_000):  # the first time for what stays for good
+        for columns, f in ran:
+            before = anonymous()
+            texts = (" ".join(f"w{i:x}{k:x}" for k in range(250)) for i in range(rows))
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "_text" else pa.array(range(rows), pa.int64()) for c in columns], names=columns)
+            for _ in f(iter([batch])):
+                pass
+            del batch, _
+            taken.append(anonymous() - before)
+    assert max(taken[4:]) < 40, taken
