@@ -1,5 +1,6 @@
-"""Kernel support vector machines and Gaussian processes. Both hold their training rows, so fits are bounded: an error,
-not a sample, beyond MOST_ROWS. Scoring is one pass that sends the support to every task."""
+"""Kernel support vector machines and Gaussian processes. A machine holds the rows that its iterations draw, whatever the
+table's size. A process holds all its training rows, so its fit is bounded: an error, not a sample, beyond MOST_ROWS.
+Scoring is one pass that sends the support to every task."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidDataError, InvalidParametersError
@@ -60,11 +61,50 @@ def row_sums(df: DataFrame, features: Sequence[str], kernel: kernels.Kernel, id:
     return rows.join(sums, "_key").select(F.col(f"`{id}`"), "s", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(F.col(f"`{id}`"), "s")
 
 
+def rows_at(df: DataFrame, columns: Sequence[str], id: str, places: Sequence[int]) -> np.ndarray:
+    """The rows at the distinct places, counted from 0 in order of id, as doubles in that order; equal ids are in order of
+    their values. Rows are dealt to ranges of id and only those asked for reach the driver."""
+    order = [f"_c{i}" for i in range(len(columns) + 1)]
+    named = df.select(col(id).alias("_c0"), *(col(c).cast("double").alias(n) for c, n in zip(columns, order[1:], strict=True)))
+    ranged = joins.cut(named.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").count().orderBy("_part").collect()
+    ends, wanted = np.cumsum([r["count"] for r in sizes]), np.array(sorted(set(places)))
+    own = np.searchsorted(ends, wanted, side="right")
+    here = {r["_part"]: wanted[own == i] - (ends[i] - r["count"]) for i, r in enumerate(sizes)}
+    here = {k: list(map(int, v)) for k, v in here.items() if len(v)}
+    if not here:
+        return np.empty((0, len(columns)))
+    asked = df.sparkSession.createDataFrame([(k, i + 1) for k, v in here.items() for i in v], "_part int, _rank int")
+    ranks = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    found = ranged.where(F.col("_part").isin(list(here))).withColumn("_rank", ranks).join(F.broadcast(asked), ["_part", "_rank"]).select("_part", "_rank", *order[1:]).toPandas()
+    return found.sort_values(["_part", "_rank"])[order[1:]].to_numpy(float)
+
+
+def _sums_with_all(df: DataFrame, features: Sequence[str], kernel: kernels.Kernel, x: np.ndarray) -> np.ndarray:
+    """The sum of the kernel of each row of x, which begins with a one, with all rows of df: one pass."""
+    if x.nbytes > joins.BROADCAST_BYTES:
+        raise InvalidDataError("the drawn rows are too large to send to every task")
+    sent = df.sparkSession.sparkContext.broadcast(x)
+
+    def run(batches):
+        sums = np.zeros(len(sent.value))
+        for pdf in batches:
+            rows = np.hstack([np.ones((len(pdf), 1)), pdf.to_numpy(float)])
+            for at in range(0, len(rows), 1024):
+                for part in range(0, len(sums), 1024):
+                    sums[part : part + 1024] += kernel.matrix(sent.value[part : part + 1024], rows[at : at + 1024]).sum(axis=1)
+        yield pd.DataFrame({"i": np.arange(len(sums)), "s": sums})
+
+    found = df.select(*(col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features))).mapInPandas(run, "i long, s double")
+    return found.groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")["s"].to_numpy(float)
+
+
 @dataclass(frozen=True)
 class SVM:
     """Targets are -1 and 1. variant "pegasos": the kernelised stochastic subgradient method. "rowsum": a row's
     coefficient rises when y_i s_i / (penalty t) < 1, with s_i the sum of the kernel over all rows; t starts at 0, where the
-    quotient is infinite with the sign of s_i y_i."""
+    quotient is infinite with the sign of s_i y_i. The draws don't depend on the fit: only their rows are fetched, by their
+    places in order of id, and no others have coefficients."""
 
     kernel: kernels.Kernel = field(default_factory=kernels.squared_exponential)
     penalty: float = 0.3
@@ -75,24 +115,23 @@ class SVM:
     def fit(self, df: DataFrame, features: Sequence[str], label: str, id: str = "id") -> SVMModel:
         if not self.penalty > 0 or self.variant not in ("pegasos", "rowsum"):
             raise InvalidParametersError("the penalty must be positive, the variant pegasos or rowsum")
-        pdf = joins.collect_matrix(df.select(id, *features, label), [*features, label], id, MOST_ROWS)
-        need_rows(len(pdf))
-        y = pdf[label].to_numpy(float)
-        if not np.isin(y, (-1, 1)).all():
+        n, wrong = df.agg(F.count("*"), F.count_if(F.coalesce(~col(label).cast("double").isin(-1.0, 1.0), F.lit(True)))).first()
+        need_rows(n)
+        if wrong:
             raise InvalidDataError("targets must be -1 or 1")
-        x = np.hstack([np.ones((len(pdf), 1)), pdf[list(features)].to_numpy(float)])
-        rng, n = np.random.default_rng(self.seed), len(x)
-        alpha = np.zeros(n)
+        rng = np.random.default_rng(self.seed)
+        drawn = [int(rng.integers(n)) for _ in range(self.iterations)]
+        rows = rows_at(df, [*features, label], id, drawn)
+        x, y = np.hstack([np.ones((len(rows), 1)), rows[:, :-1]]), rows[:, -1]
+        alpha, places = np.zeros(len(rows)), np.searchsorted(sorted(set(drawn)), drawn)
         if self.variant == "rowsum":
-            s = np.concatenate([self.kernel.matrix(x[at : at + 1024], x).sum(axis=1) for at in range(0, n, 1024)])
-            for t in range(self.iterations):
-                i = rng.integers(n)
+            s = _sums_with_all(df, features, self.kernel, x)
+            for t, i in enumerate(places):
                 margin = s[i] * y[i]
                 if margin / (self.penalty * t) < 1 if t else margin < 0:
                     alpha[i] += 1
         else:
-            for t in range(1, self.iterations + 1):
-                i = rng.integers(n)
+            for t, i in enumerate(places, 1):
                 if y[i] * float(self.kernel.matrix(x[i : i + 1], x)[0] @ (alpha * y)) / (self.penalty * t) < 1:
                     alpha[i] += 1
         return SVMModel(tuple(features), self.kernel, x, alpha / self.iterations, y, self.penalty)

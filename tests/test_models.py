@@ -273,6 +273,29 @@ def test_row_sums_have_no_limit_of_rows(spark):
     assert all(abs(r.s - want[r.id % 7]) < 1e-6 for r in got)
 
 
+def test_svm_training_has_no_limit_of_rows(spark, monkeypatch):
+    from tessera.operators.models import kernel_models
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(70, 2))
+    df = spark.createDataFrame([(int(i * 3 % 211), float(a), float(b), 1.0 if a > 0 else -1.0) for i, (a, b) in enumerate(x)], "id long, x double, y double, t double").repartition(5)
+    rows = np.array(sorted(map(tuple, df.collect())))
+    got = kernel_models.rows_at(df, ["x", "y", "t"], "id", [69, 0, 33, 33])
+    assert np.array_equal(got, rows[[0, 33, 69], 1:])
+    full, y, kernel = np.hstack([np.ones((70, 1)), rows[:, 1:3]]), rows[:, 3], kernels.squared_exponential()
+    monkeypatch.setattr(kernel_models, "MOST_ROWS", 50)
+    for variant in ("pegasos", "rowsum"):
+        draws, alpha, k = np.random.default_rng(0), np.zeros(70), kernel.matrix(full, full)
+        for t in range(100):
+            i = draws.integers(70)
+            if variant == "pegasos":
+                alpha[i] += y[i] * (k[i] @ (alpha * y)) / (0.3 * (t + 1)) < 1
+            else:
+                alpha[i] += y[i] * k[i].sum() / (0.3 * t) < 1 if t else y[i] * k[i].sum() < 0
+        out = SVM(variant=variant).fit(df, ["x", "y"], "t").decision(df).orderBy("id").collect()
+        assert np.allclose([r.decision for r in out], k @ (alpha / 100 * y) / 0.3, atol=1e-12)
+
+
 def test_kernel_matrix_of_two_large_sides_is_dealt_to_blocks(spark, monkeypatch):
 
     frame = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], "id long, a double, b double")
