@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidDataError, InvalidParametersError, InvalidStateError
 from tessera.functions.kernels import Kernel
-from tessera.functions.linalg import col
+from tessera.functions.linalg import bad, col
 from tessera.functions.scalar import squared_distance
 
 #: Rows of a side that one task of a blocked nearest-neighbour join holds.
@@ -140,6 +141,109 @@ def epsilon_join(a: DataFrame, b: DataFrame, features: Sequence[str], eps: float
     return left.join(right, "cell").withColumn("distance", d).where(F.col("distance") < F.lit(float(eps))).select("a", "b", "distance")
 
 
+def distinct_points(df: DataFrame, features: Sequence[str], id: str) -> DataFrame:
+    """(id, n, x0, x1, ...): the distinct finite points, each with its smallest id and the number of its rows."""
+    n = range(len(features))
+    rows = df.where(~reduce(lambda a, b: a | b, (bad(c) for c in features))).select(col(id).cast("long").alias("id"), *(col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)))
+    return rows.groupBy(*(f"x{i}" for i in n)).agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", *(f"x{i}" for i in n))
+
+
+def named_points(df: DataFrame, features: Sequence[str], found: DataFrame) -> DataFrame:
+    """df with the columns of `found`, which has a row for each of some points x0, x1, ...; null where it has none."""
+    at = {f"x{i}": f"_at{i}" for i in range(len(features))}
+    on = [col(c).cast("double") == F.col(f"_at{i}") for i, c in enumerate(features)]
+    return df.join(found.withColumnsRenamed(at), on, "left").drop(*at.values())
+
+
+def _in_cells(a: DataFrame, b: DataFrame, dims: int, eps: float, once: bool, work: Callable, kind: str, grid_dims: int = 3) -> DataFrame:
+    """work(a's ids, their points, b's ids, their points, b's counts), for each cell of a: b are the points in and around it, in
+    order of id. Both sides are distinct_points. once: only one of two neighbouring cells sees the other.
+
+    What work returns is all that leaves a task; no pairs are shuffled. Cells are a little wider than eps, so that no
+    rounding sets two points further apart than neighbouring cells."""
+    names, n = [f"_g{i}" for i in range(min(dims, grid_dims))], dims
+    side = float(eps) * (1 + 1e-6)
+    cell = lambda i: F.floor(F.col(f"x{i}") / F.lit(side)).cast("long")
+    steps = [s for s in product((-1, 0, 1), repeat=len(names)) if not once or s >= (0,) * len(names)]
+    around = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"s{i}") for i, v in enumerate(s))) for s in steps))
+    x = F.array(*(f"x{i}" for i in range(n)))
+    left = a.select("id", "n", x.alias("x"), F.lit(True).alias("asks"), *(cell(i).alias(g) for i, g in enumerate(names)))
+    right = b.select("id", "n", x.alias("x"), F.lit(False).alias("asks"), *(cell(i).alias(f"_c{i}") for i in range(len(names))), F.explode(around).alias("_s"))
+    right = right.select("id", "n", "x", "asks", *((F.col(f"_c{i}") + F.col(f"_s.s{i}")).alias(g) for i, g in enumerate(names)))
+
+    def group(rows: pa.Table) -> pa.Table:
+        asks = rows["asks"].to_numpy()
+        if not asks.any() or asks.all():
+            return pa.Table.from_pylist([], schema)
+        ids, counts = (rows[c].to_numpy() for c in ("id", "n"))
+        points = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, n)
+        order = np.argsort(ids[~asks], kind="stable")
+        out = work(ids[asks], points[asks], *(v[~asks][order] for v in (ids, points, counts)))
+        return pa.Table.from_arrays([pa.array(v) for v in out], schema=schema)
+
+    schema = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]]) for f in kind.split(", ")])
+    return left.unionByName(right).groupBy(*names).applyInArrow(group, kind)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in x, squared distances of the rows of x from there on with all of y), a bounded number at a time."""
+    rows = max(1, PAIRED * PAIRED // 4 // max(1, len(y)))
+    for at in range(0, len(x), rows):
+        d2 = np.zeros((len(x[at : at + rows]), len(y)))
+        for c in range(x.shape[1]):
+            d2 += np.square(x[at : at + rows, c, None] - y[None, :, c])
+        yield at, d2
+
+
+def epsilon_counts(points: DataFrame, dims: int, eps: float) -> DataFrame:
+    """(id, near): of each of distinct_points, how many rows are closer than eps (strictly), its own ones counted."""
+
+    def work(a, x, b, y, n):
+        return a, np.concatenate([(np.sqrt(d2) < eps) @ n.astype(float) for _, d2 in _squares(x, y)]).astype(np.int64)
+
+    return _in_cells(points, points, dims, eps, False, work, "id long, near long")
+
+
+def epsilon_nearest(a: DataFrame, b: DataFrame, dims: int, eps: float) -> DataFrame:
+    """(id, b): of each of the distinct_points a, the id of the nearest of b, if that is closer than eps (strictly); the smaller id of equals."""
+
+    def work(a, x, b, y, n):
+        best, near = np.empty(len(x), np.int64), np.empty(len(x))
+        for at, d2 in _squares(x, y):
+            best[at : at + len(d2)] = d2.argmin(axis=1)  # the first of equals
+            near[at : at + len(d2)] = d2.min(axis=1)
+        found = np.sqrt(near) < eps
+        return a[found], b[best[found]]
+
+    return _in_cells(a, b, dims, eps, False, work, "id long, b long")
+
+
+def epsilon_forest(points: DataFrame, dims: int, eps: float) -> DataFrame:
+    """(u, v): edges that connect the same of the distinct_points as all pairs closer than eps (strictly) do.
+
+    Each cell gives a forest of the pairs of its own points with those in and after it: fewer edges than points that it sees."""
+
+    def work(a, x, b, y, n):
+        label, u, v = np.arange(len(b)), [], []
+        place = np.searchsorted(b, a)  # a's points are in b too
+        for at, d2 in _squares(x, y):
+            near = np.sqrt(d2) < eps
+            for i in range(len(near)):
+                own = label[np.flatnonzero(near[i])]
+                root = label[place[at + i]]
+                if (own == root).all():
+                    continue
+                roots = np.unique(own)
+                least = min(root, roots[0])
+                to = np.arange(len(b))
+                to[roots] = to[root] = least
+                label = to[label]
+        tied = label != np.arange(len(b))
+        return b[label[tied]], b[tied]
+
+    return _in_cells(points, points, dims, eps, True, work, "u long, v long")
+
+
 def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(node, component) of the nodes of all edges given."""
     edges = pd.concat([*batches, pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})], ignore_index=True)
@@ -250,4 +354,4 @@ def kernel_sums(queries: DataFrame, features: Sequence[str], kernel: Kernel, x:
     return source.mapInArrow(run, schema)
 
 
-__all__ = ["as_array", "collect_matrix", "connected_components", "cut", "epsilon_join", "kernel_matrix", "kernel_sums", "knn_join", "nearest_centre"]
+__all__ = ["as_array", "collect_matrix", "connected_components", "cut", "distinct_points", "epsilon_counts", "epsilon_forest", "epsilon_join", "epsilon_nearest", "kernel_matrix", "kernel_sums", "knn_join", "named_points", "nearest_centre"]

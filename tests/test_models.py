@@ -121,6 +121,36 @@ def test_dbscan(spark):
     assert [r.cluster for r in one.orderBy("id").collect()] == [r.cluster for r in two.orderBy("id").collect()]
 
 
+@pytest.mark.parametrize("dims", [2, 4])
+def test_dbscan_shuffles_no_pairs(spark, monkeypatch, dims):
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([np.zeros((300, dims)), rng.normal(size=(300, dims)) * 0.01, rng.normal(size=(150, dims)).round(1) * 2])  # equal, close and spread points
+    rows = [(i * 7 % 750, *map(float, v)) for i, v in enumerate(x)]
+    names, eps = [f"x{i}" for i in range(dims)], 0.5
+    df = spark.createDataFrame(rows, ["id", *names])
+    edges, components = [], joins.connected_components
+    monkeypatch.setattr(joins, "connected_components", lambda e, nodes: edges.append(e.count()) or components(e, nodes))
+    model = DBSCAN(eps, 4).fit(df, names)
+    assert edges[0] < 5 * 750  # all pairs are more than 100,000
+    x = x[np.argsort([r[0] for r in rows])]
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) < eps
+    assert {r.id: r.n for r in DBSCAN(eps, 4).neighbours(df, names).collect()} == dict(enumerate(near.sum(axis=1)))
+    core, label = near.sum(axis=1) >= 4, np.arange(750)
+    while True:
+        new = np.where(near & core, label, 750).min(axis=1)
+        if np.array_equal(new[core], label[core]):
+            break
+        label = new
+    roots = sorted(set(label[core]))
+    want = [roots.index(label[i]) if core[i] else None for i in range(750)]
+    assert [r.cluster for r in model.clusters.orderBy("id").collect()] == want
+    asked = x[:90] + 0.1
+    d2 = ((asked[:, None] - x[None]) ** 2).sum(axis=2)
+    best = [want[i] if d < eps else None for i, d in zip(d2.argmin(axis=1), np.sqrt(d2.min(axis=1)), strict=True)]
+    q = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(asked)] + [(90, *[float("nan")] * dims)], ["id", *names])
+    assert predictions(model.transform(q)) == [*best, None]
+
+
 def test_gaussian_mixture_improves(spark):
     d = datasets.clusters(spark, [(-0.5, -0.5), (0, 0.5)], 150, 0.2, 3)
     for covariance in ("full", "regularized", "diagonal"):
