@@ -19,8 +19,8 @@ from tessera.functions.kernels import Kernel
 from tessera.functions.linalg import bad, col
 from tessera.functions.scalar import squared_distance
 
-#: Rows of a side that one task of a blocked nearest-neighbour join holds.
-BLOCK = 8192
+#: Rows of a side that one task of a blocked nearest-neighbour join holds, or an eighth of the side if that is more; BLOCK_BYTES at most.
+BLOCK, BLOCK_BYTES = 8192, 16 << 20
 #: Rows of either side in a task of the kernel matrix, whose pairs it holds.
 PAIRED = 1024
 #: Edges of a graph that one task takes.
@@ -59,24 +59,89 @@ def nearest_centre(features: Sequence[str], centres: np.ndarray) -> tuple[Column
     return best["i"], best["d"]
 
 
+def _distances(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the rows i of q from the rows j of x, from differences."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 1 << 16):
+        own, d = slice(at, at + (1 << 16)), 0.0
+        for c in range(x.shape[1]):
+            d = d + (q[i[own], c] - x[j[own], c]) ** 2
+        out[own] = np.sqrt(d)
+    return out
+
+
+def _first(groups: np.ndarray, k: int, *keys: np.ndarray) -> np.ndarray:
+    """The places of the first k of each group, in order of keys; grouped, in that order."""
+    order = np.lexsort((*keys[::-1], groups))
+    own = groups[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, int)
+    return order[np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)])) < k]
+
+
 def _nearest(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, not_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, distance) of each query's k nearest by (distance, id); exact, found by a bounded prefilter."""
-    x2 = (x**2).sum(axis=1)
+    """(query index, id, distance) of each query's k nearest by (distance, id), exact: products of blocks in single
+    precision propose all points that can be among them, by a bound of their rounding, and the distances decide."""
+    if not len(q) or not len(x):
+        return np.empty(0, int), np.empty(0, ids.dtype), np.empty(0)
+    most = k + (int(np.unique(ids, return_counts=True)[1].max()) if not_self else 0)
+    dims = x.shape[1]
+    # Of equal points only the first ids can be near; equal ones are next to each other in order of a hash.
+    hashed = (np.ascontiguousarray(x).view(np.uint64) * np.random.default_rng(0).integers(1, 1 << 63, dims, np.uint64)).sum(axis=1)
+    order = np.lexsort((ids, hashed))
+    run = np.cumsum(np.r_[True, (hashed[order][1:] != hashed[order][:-1]) | (x[order][1:] != x[order][:-1]).any(axis=1)])
+    kept = order[_first(run, most, np.arange(len(order)))]
+    kept = np.random.default_rng(0).permutation(np.sort(kept))  # so that bounds fall early whatever the order of the points
+    with np.errstate(over="ignore", invalid="ignore"):
+        plain, usual = ((v**2).sum(axis=1) < 1e30 for v in (x[kept], q))
+    odd, near = kept[~plain], kept[plain]  # points whose squares don't fit are always compared
+    centre = x[near].mean(axis=0) if len(near) else np.zeros(dims)
+    p = np.empty((len(near), dims + 1), np.float32)
+    p[:, :dims] = x[near] - centre
+    p[:, dims] = squares = ((x[near] - centre) ** 2).sum(axis=1)
+    far = np.sqrt(squares.max(initial=0.0))
     out = []
-    for i in range(len(q)):
-        usable = np.flatnonzero(ids != qid[i]) if not_self else np.arange(len(x))
-        if len(usable) > 4 * k:  # the expanded form loses digits, so it only proposes
-            rough = x2[usable] - 2 * (x[usable] @ q[i])
-            edge = np.partition(rough, k - 1)[k - 1]
-            slack = 1e-9 * (1 + np.abs(x2).max() + (q[i] ** 2).sum())
-            usable = usable[rough <= edge + slack]
-        d = np.zeros(len(usable))
-        for c in range(x.shape[1]):
-            d += (q[i, c] - x[usable, c]) ** 2
-        d = np.sqrt(d)
-        order = np.lexsort((ids[usable], d))[:k]
-        out.append((np.full(len(order), i), ids[usable][order], d[order]))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, ids.dtype), np.empty(0))
+    for block in np.split(np.arange(len(q)), range(256, len(q), 256)):
+        own = block[usual[block]]
+        a = np.ones((len(own), dims + 1), np.float32)
+        a[:, :dims] = -2 * (q[own] - centre)
+        size = np.sqrt(((q[own] - centre) ** 2).sum(axis=1))
+        slack = (dims + 8) * (2.0**-23 * (far * far + 2 * far * size) + 1e-44 * (1 + far + size))
+        bound = np.full(len(own), np.inf)
+        i, j, v = np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
+        parts, pending = [], 0
+        for at in range(0, len(near) if len(own) else 0, 2048):
+            rough = a @ p[at : at + 2048].T
+            if at == 0 and len(near) > most and rough.shape[1] > most:
+                bound = np.partition(rough, most - 1, axis=1)[:, most - 1] + 3 * slack
+            flat = np.flatnonzero(rough <= bound.astype(np.float32)[:, None])
+            hit, place = np.divmod(flat, rough.shape[1])
+            parts.append((hit, near[at + place], rough.ravel()[flat]))
+            pending += len(flat)
+            if pending > 4 * k * len(own) or at + 2048 >= len(near):
+                i, j, v = (np.concatenate(w) for w in zip((i, j, v), *parts, strict=True))
+                if not_self:
+                    i, j, v = (w[others] for w in (i, j, v)) if not (others := ids[j] != qid[own[i]]).all() else (i, j, v)
+                if len(i) > 16 * k * len(own):
+                    best = _first(i, k, _distances(q[own], x, i, j), ids[j])
+                    i, j, v = i[best], j[best], v[best]
+                last = _first(i, k, v)
+                full = np.flatnonzero(np.bincount(i[last], minlength=len(own)) == k)
+                top = np.full(len(own), -np.inf)
+                np.maximum.at(top, i[last], v[last])
+                bound[full] = np.minimum(bound[full], top[full] + 3 * slack[full])
+                keep = v <= bound.astype(np.float32)[i]
+                i, j, v, parts, pending = i[keep], j[keep], v[keep], [], 0
+        rest = block[~usual[block]]  # queries whose squares don't fit are compared with all points
+        i = np.concatenate([own[i], np.repeat(own, len(odd)), np.repeat(rest, len(kept))])
+        j = np.concatenate([j, np.tile(odd, len(own)), np.tile(kept, len(rest))])
+        if not_self:
+            others = ids[j] != qid[i]
+            i, j = i[others], j[others]
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = _distances(q, x, i, j)
+        best = _first(i, k, d, ids[j])
+        out.append((i[best], ids[j[best]], d[best]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
 def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, query_id: str = "qid", point_id: str = "id", not_self: bool = False, algorithm: str | Callable = "blocked") -> DataFrame:
@@ -104,20 +169,20 @@ def knn_join(queries: DataFrame, points: DataFrame, features: Sequence[str], k:
         pairs = q.join(p, F.col("q") != F.col("p")) if not_self else q.crossJoin(p)
         found = pairs.select("q", "p", F.sqrt(array_squared_distance(F.col("x"), F.col("y"))).alias("d"))
     else:
-        nq, np_ = (max(1, -(-f.count() // BLOCK)) for f in (q, p))
+        sizes = [f.agg(F.count("*"), F.max(F.size(x))).first() for f, x in ((q, "x"), (p, "y"))]
+        rows = lambda n, dims: min(max(BLOCK, -(-n // 8)), max(256, BLOCK_BYTES // (8 * max(1, dims or 1))))
+        nq, np_ = (max(1, -(-n // rows(n, dims))) for n, dims in sizes)
         deal = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         sides = q.select(F.col("q").alias("id"), "x", F.lit(True).alias("asks"), deal("q", nq).alias("qb"), every(np_).alias("pb")).unionByName(p.select(F.col("p").alias("id"), F.col("y").alias("x"), F.lit(False).alias("asks"), every(nq).alias("qb"), deal("p", np_).alias("pb")))
 
-        def group(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-            if not len(a) or not len(b):
-                return pd.DataFrame({"q": np.empty(0, np.int64), "p": np.empty(0, np.int64), "d": np.empty(0)})
-            qid = a["id"].to_numpy()
-            i, ids, d = _nearest(np.stack(a["x"]), qid, np.stack(b["x"]), b["id"].to_numpy(), k, not_self)
-            return pd.DataFrame({"q": qid[i], "p": ids, "d": d})
+        def group(rows: pa.Table) -> pa.Table:
+            asks, ids = rows["asks"].to_numpy(), rows["id"].to_numpy()
+            x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            i, near, d = _nearest(x[asks], ids[asks], x[~asks], ids[~asks], k, not_self)
+            return pa.table({"q": pa.array(ids[asks][i], pa.int64()), "p": pa.array(near, pa.int64()), "d": pa.array(d, pa.float64())})
 
-        found = sides.groupBy("qb", "pb").applyInPandas(group, "q long, p long, d double")
+        found = sides.groupBy("qb", "pb").applyInArrow(group, "q long, p long, d double")
     ranked = found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
     name = point_id if point_id != query_id else f"neighbour_{point_id}"
     return ranked.select(F.col("q").alias(query_id), F.col("p").alias(name), F.col("d").alias("distance"), F.col("rank").cast("long").alias("rank"))

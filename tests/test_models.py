@@ -194,6 +194,39 @@ def test_nearest_neighbours(spark):
         KNNClassifier(9).fit(k4, ["a", "b", "c"], "y")
 
 
+@pytest.mark.parametrize("kind", ["plain", "grid", "far", "equal", "odd", "close"])
+def test_nearest_by_products_of_blocks(kind):
+    import time
+
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(6000, 9)), rng.normal(size=(300, 9))
+    if kind == "grid":
+        x, q = x.round(), q.round()
+    elif kind == "far":
+        x, q = x + 1e6, q + 1e6
+    elif kind == "equal":
+        x[:3000] = q[:100] = x[0]
+    elif kind == "odd":
+        x[7], x[8], q[5], q[6] = np.nan, x[8] * 1e200, np.inf, q[6] * 1e160
+    elif kind == "close":
+        x[:900] = x[0] * (1 + 1e-9 * rng.normal(size=(900, 1)))
+    ids, own = rng.permutation(6000), rng.integers(0, 6000, 300)
+    for not_self in (False, True):
+        i, near, d = joins._nearest(q, own, x, ids, 5, not_self)
+        for row in range(len(q)):
+            with np.errstate(over="ignore", invalid="ignore"):
+                all_d = np.sqrt(sum((q[row, c] - x[:, c]) ** 2 for c in range(9)))
+            usable = np.flatnonzero(ids != own[row]) if not_self else np.arange(len(x))
+            best = usable[np.lexsort((ids[usable], all_d[usable]))[:5]]
+            assert near[i == row].tolist() == ids[best].tolist()
+            assert np.array_equal(d[i == row], all_d[best], equal_nan=True)
+    if kind == "plain":
+        x = rng.normal(size=(8192, 64))
+        began = time.process_time()
+        joins._nearest(x[:2048], np.arange(2048), x, np.arange(8192), 5, True)
+        assert (time.process_time() - began) / 2048 / 8192 < 80e-9  # 176 ns a pair with a product for each query
+
+
 def test_components_in_one_task_and_in_rounds(spark):
     edges = spark.createDataFrame([(3, 4), (4, 9), (1, 2), (7, 7), *((20 + i, 21 + i) for i in range(30))], "u long, v long")
     want = {3: 3, 4: 3, 9: 3, 1: 1, 2: 1, 5: 5} | {20 + i: 20 for i in range(31)}
