@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,24 +41,28 @@ class SVMModel(Model):
 
 
 def row_sums(df: DataFrame, features: Sequence[str], kernel: kernels.Kernel, id: str = "id", intercept: bool = True) -> DataFrame:
-    """(id, s): the sum of the kernel of each row with all rows. Rows are dealt to block pairs, so there is no limit to them."""
-    rows = df.select(col(id), joins.as_array(df, features).alias("_x")).groupBy(f"`{id}`", "_x").agg(F.count("*").alias("_n")).withColumn("_key", F.xxhash64(f"`{id}`", "_x"))
-    rows = joins.cut(rows)
-    blocks = max(1, -(-rows.count() // joins.BLOCK))
-    own, every = F.pmod("_key", F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = rows.select("_key", "_x", "_n", F.lit(True).alias("asks"), own.alias("qb"), every.alias("pb")).unionByName(rows.select("_key", "_x", "_n", F.lit(False).alias("asks"), every.alias("qb"), own.alias("pb")))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"_key": np.empty(0, np.int64), "s": np.empty(0)})
-        x, y = (np.array([list(v) for v in side["_x"]], dtype=float) for side in (a, b))
-        if intercept:
-            x, y = (np.hstack([np.ones((len(v), 1)), v]) for v in (x, y))
-        weights = b["_n"].to_numpy(float)
-        return pd.DataFrame({"_key": a["_key"].to_numpy(), "s": np.concatenate([kernel.matrix(x[at : at + 1024], y) @ weights for at in range(0, len(x), 1024)])})
-
-    sums = sides.groupBy("qb", "pb").applyInPandas(group, "_key long, s double").groupBy("_key").agg(F.sum("s").alias("s"))
+    """(id, s): the sum of the kernel of each row with all rows. Equal rows are taken as one, and rows are dealt to block pairs, of
+    which a task holds a few at once, so there is no limit to them."""
+    rows = df.select(col(id), joins.as_array(df, features).alias("_x")).groupBy(f"`{id}`", "_x").agg(F.count("*").alias("_n"))
+    rows = joins.cut(rows.withColumn("_key", F.xxhash64("_x")))
+    points = joins.cut(rows.groupBy("_key", "_x").agg(F.sum("_n").alias("_n")))
+    blocks = max(1, -(-points.count() // joins.BLOCK))
+    own, every = F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = points.select("_key", "_x", "_n", F.lit(True).alias("asks"), own.alias("qb"), every.alias("pb")).unionByName(points.select("_key", "_x", "_n", F.lit(False).alias("asks"), every.alias("qb"), own.alias("pb")))
+
+    def group(table: pa.Table) -> pa.Table:
+        asks, keys, n = (table[c].to_numpy() for c in ("asks", "_key", "_n"))
+        x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+        x = np.hstack([np.ones((len(x), 1)), x]) if intercept else x
+        a, b, weights = x[asks], x[~asks], n[~asks].astype(float)
+        sums = np.zeros(len(a))
+        for at in range(0, len(a), 256):
+            for to in range(0, len(b), 1024):
+                sums[at : at + 256] += kernel.matrix(a[at : at + 256], b[to : to + 1024]) @ weights[to : to + 1024]
+        return pa.table({"_key": pa.array(keys[asks], pa.int64()), "s": pa.array(sums, pa.float64())})
+
+    # A number of partitions of its own, since adaptive execution would join small ones whose pairs are many.
+    sums = sides.repartition(min(2000, blocks * blocks), "qb", "pb").groupBy("qb", "pb").applyInArrow(group, "_key long, s double").groupBy("_key").agg(F.sum("s").alias("s"))
     return rows.join(sums, "_key").select(F.col(f"`{id}`"), "s", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(F.col(f"`{id}`"), "s")
 
 

@@ -350,6 +350,19 @@ def test_row_sums_have_no_limit_of_rows(spark):
     assert all(abs(r.s - want[r.id % 7]) < 1e-6 for r in got)
 
 
+def test_row_sums_hold_few_pairs_at_once(spark):
+    from tessera.functions.kernels import Kernel
+    from tessera.operators.models import kernel_models
+
+    def parts(dot, d2, m):
+        assert dot.size <= 1 << 20
+        return m.exp(-d2 / 2)
+
+    got = kernel_models.row_sums(spark.range(3000).selectExpr("id", "CAST(id AS double) AS x"), ["x"], Kernel("checked", parts)).collect()
+    near = np.exp(-(np.arange(-60.0, 61.0) ** 2) / 2)
+    assert len(got) == 3000 and all(abs(r.s - near[max(0, 60 - r.id) : 61 + min(60, 2999 - r.id)].sum()) < 1e-9 for r in got)
+
+
 def test_svm_training_has_no_limit_of_rows(spark, monkeypatch):
     from tessera.operators.models import kernel_models
 
